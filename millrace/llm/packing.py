@@ -240,13 +240,14 @@ def pack(parts: DataFrame, *, limit: int = 2048, partners: int = 6, spread: int
     pieces of their own. An empty table gives an empty table.
     """
     spark = parts.sparkSession
-    keyed = checkpoint(parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(spread)).cast("int")))
+    numbered = parts.withColumn("_row", F.monotonically_increasing_id())
+    keyed = checkpoint(numbered.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(spread)).cast("int")))
     cells = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     histogram = {int(r[0]): int(r[1]) for r in cells.groupBy("length").agg(F.sum("_n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, limit, partners)))
-    inside = W.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    inside = W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "_row")
     ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["length", "_bucket"])
 
     @F.pandas_udf("sequence_id long, offset long")
