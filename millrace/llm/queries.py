@@ -34,6 +34,27 @@ def op2_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return packing.pack(parts)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document less the lines whose template recurs across documents."""
+    from millrace.llm.templates import drop_templates
+
+    return drop_templates(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import toxicity
+
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold != 0))
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality import compression_bands
 
@@ -43,6 +64,9 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
+    "op5_simhash": op5_simhash,
+    "op7_line_templates": op7_line_templates,
+    "op8_toxicity": op8_toxicity,
     "op9_compression_bands": op9_compression_bands,
 }
 

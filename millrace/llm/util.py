@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,3 +49,8 @@ def batches(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in stream:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
