@@ -40,6 +40,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.rank = {r})) as bigint)").alias(f"n_{k}") for r, k in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document less the lines whose template recurs across documents."""
     from millrace.llm.templates import drop_templates
@@ -65,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_line_templates": op7_line_templates,
     "op8_toxicity": op8_toxicity,
     "op9_compression_bands": op9_compression_bands,
