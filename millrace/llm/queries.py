@@ -34,6 +34,24 @@ def op2_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return packing.pack(parts)
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records against a replica with changed and lost records: every node that differs."""
+    from millrace.llm import fixity
+
+    pages = table(spark, sf_dir, "pages")
+    sound = fixity.records(pages, id_col="page_id", url_col="url", body_col="html")
+    hurt = pages.withColumn("html", F.when(F.col("page_id") * 7919 % 101 == 7, F.translate("html", "e", "3")).otherwise(F.col("html")))
+    other = fixity.records(hurt, id_col="page_id", url_col="url", body_col="html")
+    return fixity.audit(sound, other.where("(file * 1024 + seq) * 7907 % 103 <> 5"), levels=3)
+
+
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.covertree import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import near_duplicates
 
@@ -72,6 +90,8 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
+    "op3_warc_fixity": op3_warc_fixity,
+    "op4_cover_tree": op4_cover_tree,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_line_templates": op7_line_templates,
@@ -79,4 +99,27 @@ QUERIES: dict[str, Query] = {
     "op9_compression_bands": op9_compression_bands,
 }
 
-ORACLES: dict[str, str] = {}
+_RECORD = """SELECT CAST(coalesce(floor(page_id / 1024), -1) AS BIGINT) AS file, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+ || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(body, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+ || coalesce(body, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t"""
+_LEAF = """SELECT file, row_number() OVER w - 1 AS idx, CAST(sum(strlen(t)) OVER w AS BIGINT) - strlen(t) AS s, CAST(sum(strlen(t)) OVER w AS BIGINT) AS e, sha256(t) AS h
+ FROM {0} WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256(t) ROWS UNBOUNDED PRECEDING)"""
+_NODE = "SELECT file, idx // 16 AS idx, min(s) AS s, max(e) AS e, sha256(string_agg(idx || ':' || s || ':' || e || ':' || h, ',' ORDER BY idx)) AS h FROM {0} GROUP BY file, idx // 16"
+_DIFFER = """SELECT {0} AS level, coalesce(a.file, b.file) AS file, coalesce(a.idx, b.idx) AS idx, coalesce(a.s, b.s) AS start, coalesce(a.e, b.e) AS "end",
+ CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' ELSE 'changed' END AS state, a.h AS hash_a, b.h AS hash_b
+ FROM a{0} a FULL JOIN b{0} b ON a.file = b.file AND a.idx = b.idx
+ WHERE a.s IS DISTINCT FROM b.s OR a.e IS DISTINCT FROM b.e OR a.h IS DISTINCT FROM b.h"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc_fixity": "WITH ra AS (" + _RECORD + " FROM (SELECT page_id, url, html AS body FROM pages)), rb AS (" + _RECORD
+    + " FROM (SELECT page_id, url, CASE WHEN page_id * 7919 % 101 = 7 THEN translate(html, 'e', '3') ELSE html END AS body FROM pages)), a0 AS (" + _LEAF.format("ra")
+    + "), b0 AS (SELECT * FROM (" + _LEAF.format("rb") + ") WHERE (file * 1024 + idx) * 7907 % 103 <> 5), "
+    + ", ".join(f"{r}{n} AS ({_NODE.format(f'{r}{n - 1}')})" for r in "ab" for n in (1, 2, 3)) + " " + " UNION ALL ".join(_DIFFER.format(n) for n in range(4)),
+    "op4_cover_tree": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
