@@ -145,9 +145,9 @@ def _candidates(text: Column, base: Column, choice: Choice) -> Column:
     return F.concat(*map(proposed, GENERATORS))
 
 
-def _known(df: DataFrame, id_col: str, text_col: str, choice: Choice) -> DataFrame:
-    docs = texts(df, id_col, text_col).select("doc_id", "text", _kinds(F.col("text")).alias("base"))
-    return docs.select("doc_id", "text", "base", _candidates(F.col("text"), F.col("base"), choice).alias("cands"))
+def _known(docs: DataFrame, choice: Choice) -> DataFrame:
+    docs = docs.withColumn("base", _kinds(F.col("text")))
+    return docs.select("*", _candidates(F.col("text"), F.col("base"), choice).alias("cands"))
 
 
 def train(known: DataFrame, choice: Choice) -> dict[int, tuple[str, float]]:
@@ -173,15 +173,18 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", choic
     without candidates trains nothing and adds nothing. Repeated rows each
     give a row. There is no shuffle but for the counts of the training set.
     """
-    choice = choice or Choice()
-    known = _known(df, id_col, text_col, choice)
+    return _find(texts(df, id_col, text_col), choice or Choice())
+
+
+def _find(docs: DataFrame, choice: Choice) -> DataFrame:
+    known = _known(docs, choice)
     chosen = []
     for rank, (sql, least) in train(known, choice).items():
         if np.isfinite(least):
             chosen.append(f"(x.rank = {rank} AND ({sql}) >= {least:.9f}D)")
     own = F.expr(f"filter(cands, x -> NOT exists(base, b -> b.start < x.end AND b.end > x.start) AND ({' OR '.join(chosen) or 'false'}))")
     added = F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
-    return known.select("doc_id", "text", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
+    return known.select(*docs.columns, "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -190,9 +193,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["rank"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", choice: Choice | None = None) -> DataFrame:
-    """doc_id, and text with every span, overlapping ones as one, replaced by its kind in brackets."""
-    found = find(df, id_col=id_col, text_col=text_col, choice=choice)
+def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), choice: Choice | None = None) -> DataFrame:
+    """doc_id, and text with every span, overlapping ones as one, replaced by its kind in brackets.
+
+    ``keep``: columns of the input to return instead, the text among them redacted and null texts empty.
+    """
+    rest = [c for c in keep if c not in (id_col, text_col)]
+    plain = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
+    found = _find(plain, choice or Choice())
 
     def join(a: Column, x: Column) -> Column:
         last = F.element_at(a, -1)
@@ -210,4 +218,7 @@ def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cho
         return F.concat(F.array_join(F.transform(m, part), ""), F.substring(F.col("text"), F.element_at(m, -1)["end"] + 1, F.length("text")))
 
     merged = F.aggregate("spans", none, join)
-    return found.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(let(merged, cut)).alias("text"))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(merged, cut))
+    if not keep:
+        return found.select("doc_id", text.alias("text"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("doc_id").alias(c) if c == id_col else F.col(f"rest.{c}") for c in keep])

@@ -87,6 +87,14 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licences import scan_licences
+
+    scanned = scan_licences(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    return scanned.select("doc_id", "n_paragraphs", F.size("found").alias("n_predicted"), F.size(sure).alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), "found")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
@@ -97,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op7_line_templates": op7_line_templates,
     "op8_toxicity": op8_toxicity,
     "op9_compression_bands": op9_compression_bands,
+    "op10_licences": op10_licences,
 }
 
 _RECORD = """SELECT CAST(coalesce(floor(page_id / 1024), -1) AS BIGINT) AS file, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
