@@ -158,7 +158,7 @@ def scan_licences(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     share = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0] or 1
     # About twice the bound is left for the exact choice, so little is sorted.
     few = lines.where(F.pmod("h", F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 2 * scan.background / share))).groupBy("h").agg(F.min("line").alias("line"))
-    background = [r.line[:2000] for r in few.orderBy("h", "line").limit(scan.background).collect()]
+    background = [r.line for r in few.orderBy("h", "line").limit(scan.background).collect()]
     model = df.sparkSession.sparkContext.broadcast(Classifier(background, scan))
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())]))
 
