@@ -9,14 +9,20 @@ recurs across documents is dropped from all but the first of them.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from millrace.llm.util import SPACE, checkpoint, let, texts
+from millrace.llm.util import batches, checkpoint, let, texts
 
-FIELD = "<*>"
+FIELD = b"<*>"
+_DIGIT = re.compile(rb"[0-9]").search
 
 
 @dataclass(frozen=True)
@@ -33,40 +39,93 @@ class Tree:
     constant: float = 0.6
 
 
-def _lines(df: DataFrame, tree: Tree) -> DataFrame:
-    """Lines with a token: key, doc_id, pos, tokens (array), n, leaf, template."""
-    masked = F.regexp_replace("line", r"(?<![^ \t-\r])[^0-9 \t-\r]*+[0-9][^ \t-\r]*+", FIELD)
-    split = df.select("key", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    parsed = split.select("key", "doc_id", "pos", F.filter(F.split(masked, SPACE), lambda w: w != "").alias("tokens")).where(F.size("tokens") > 0)
-    return parsed.select("*", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, tree.depth)).alias("leaf"), F.xxhash64("tokens").alias("template"))
+LINES = "key long, doc_id long, pos int, n int, leaf long, template long"
+#: Bits of the filter that keeps lines of other templates from being read as tokens: 8 MB, whatever the input.
+BITS = 1 << 26
+
+
+def parse(line: bytes) -> list[bytes]:
+    """Its tokens; those with a digit are variable fields."""
+    tokens = line.split()
+    return [FIELD if _DIGIT(t) else t for t in tokens] if _DIGIT(line) else tokens
+
+
+def _hashes(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
+    """LINES: every line with a token, as numbers only. ``docs`` has key, doc_id and text."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, 256):
+            key, doc, pos, size, leaf, template = [], [], [], [], [], []
+            for k, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for i, line in enumerate(text.encode().split(b"\n")):
+                    if tokens := parse(line):
+                        key.append(k)
+                        doc.append(d)
+                        pos.append(i)
+                        size.append(len(tokens))
+                        leaf.append(xxh64_intdigest(b" ".join([b"%d" % len(tokens), *tokens[: tree.depth]])))
+                        template.append(xxh64_intdigest(b" ".join(tokens)))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), _hashes(leaf), _hashes(template)], ["key", "doc_id", "pos", "n", "leaf", "template"])
+
+    return docs.select("key", "doc_id", "text").mapInArrow(run, LINES)
+
+
+def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """template, tokens of lines whose template is in ``wanted`` or shares its bit of the filter."""
+    slot = F.pmod("template", F.lit(BITS))
+    words = wanted.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")).collect()
+    bits = np.zeros(BITS // 64, np.uint64)
+    for w, b in words:
+        bits[w] = b % (1 << 64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for batch in batches(stream, 256):
+            hashes, found = [], []
+            for text in batch.column(0).to_pylist():
+                for line in text.encode().split(b"\n"):
+                    if tokens := parse(line):
+                        h = xxh64_intdigest(b" ".join(tokens))
+                        s = (h - (1 << 64) if h >> 63 else h) % BITS
+                        if int(filled[s >> 6]) >> (s & 63) & 1:
+                            hashes.append(h)
+                            found.append([t.decode() for t in tokens])
+            yield pa.RecordBatch.from_arrays([_hashes(hashes), pa.array(found, pa.list_(pa.string()))], ["template", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "template long, tokens array<string>")
 
 
 def _docs(lines: DataFrame, by: str) -> DataFrame:
-    """Documents that hold each value of ``by``, and the first of them; a document counts once."""
-    return lines.groupBy(by, "key", "doc_id").agg(F.min("n").alias("n")).groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "key")).alias("first"), F.min("n").alias("n"))
+    """Documents that hold each value of ``by``, and the least id of them; a document counts once."""
+    once = lines.groupBy(by, "key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    return once.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.min("n").alias("n"))
 
 
-def recurring(df: DataFrame, tree: Tree) -> DataFrame:
-    """Templates that recur: template (of a line), first (the document that keeps it), docs."""
-    lines = _lines(df, tree)
-    thin = checkpoint(lines.select("key", "doc_id", "leaf", "template", "n").distinct())
+def recurring(docs: DataFrame, lines: DataFrame, tree: Tree) -> DataFrame:
+    """Templates that recur: template (of a line), first (id of the document that keeps it)."""
     least = F.when(F.col("n") >= tree.long_tokens, tree.docs_long).otherwise(tree.docs_short)
-    exact = _docs(thin, "template").where(F.col("docs") >= least).select("template", "first", "docs")
+    exact = checkpoint(_docs(lines, "template").where(F.col("docs") >= least).select("template", "first"))
     # Variable fields: only leaves that many documents reach can hold such a template.
-    leaves = thin.groupBy("leaf").agg(F.approx_count_distinct("template").alias("kinds"), F.count(F.lit(1)).alias("lines")).where(f"kinds > 1 and lines >= {tree.docs_short}").select("leaf")
-    rest = checkpoint(thin.join(leaves, "leaf", "left_semi").join(exact, "template", "left_anti").select("template").distinct())
+    kinds = lines.groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("c"))
+    leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where(f"kinds >= {min(tree.docs_short, tree.docs_long + 1)}").select("leaf")
+    rest = checkpoint(kinds.join(leaves, "leaf", "left_semi").join(exact, "template", "left_anti").select("template", "leaf", "n"))
     if rest.isEmpty():
         return exact
-    # The tokens of templates that so far recur too seldom, each template once.
-    kinds = lines.join(rest, "template", "left_semi").groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    wide = checkpoint(kinds.select("leaf", "template", F.posexplode("tokens").alias("at", "token")))
-    common = wide.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("_c")).where(f"_c >= {tree.docs_short} and token <> '{FIELD}'").select("leaf", "at", "token")
+    read = _tokens(docs, rest).groupBy("template").agg(F.first("tokens").alias("tokens"))
+    wide = checkpoint(rest.join(read, "template").select("leaf", "template", F.posexplode("tokens").alias("at", "token")))
+    fixed = F.col("token") != FIELD.decode()
+    common = wide.where(fixed).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("_c")).where(f"_c >= {tree.docs_short}").select("leaf", "at", "token")
     kept = wide.join(common, ["leaf", "at", "token"])
     forms = kept.groupBy("template", "leaf").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("at", "token")).alias("x1"), F.bit_xor(F.xxhash64("token", "at")).alias("x2"))
     forms = forms.select("template", "constants", F.xxhash64("leaf", "x1", "x2").alias("form"))
-    members = thin.join(forms, "template").where(F.col("constants") >= tree.constant * F.col("n"))
-    groups = _docs(members, "form").where(F.col("docs") >= least).select("form", "first", "docs")
-    return exact.union(forms.join(groups, "form").select("template", "first", "docs"))
+    members = lines.join(forms, "template").where(F.col("constants") >= tree.constant * F.col("n"))
+    groups = _docs(members, "form").where((F.col("docs") >= least) & (F.col("docs") >= tree.docs_short)).select("form", "first")
+    return exact.union(forms.join(groups, "form").select("template", "first"))
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -85,19 +144,20 @@ def drop_templates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A recurring template stays in the document of least id that has it, so
     nothing is lost to the corpus; a line that recurs only within a document
-    stays. Blank lines are never dropped. Null texts stay null, with no lines;
+    stays. Rows that share the least id all keep it. Blank lines are never dropped. Null texts stay null, with no lines;
     an empty text has one. Rows that repeat both id and text are one document.
     A null id sorts first. Input columns named n_lines or n_dropped are replaced.
     """
     tree = tree or Tree()
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    docs = texts(df, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = checkpoint(recurring(docs, tree).groupBy("template").agg(F.min("first").alias("first")))
-    lines = _lines(docs, tree).select("key", "pos", "template")
-    hit = lines.join(found, "template").where(F.col("key") != F.col("first.key"))
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    docs = texts(df, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
+    lines = checkpoint(_lines(docs, tree))
+    found = checkpoint(recurring(docs, lines, tree).groupBy("template").agg(F.min("first").alias("first")))
+    hit = lines.join(found, "template").where(F.col("doc_id") != F.col("first"))
     drops = hit.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
     joined = df.select(*names, key.alias("_own")).join(drops, F.col("_own") == F.col("_key"), "left")
     left = let(F.split(text_col, "\n"), lambda x: F.array_join(_without(x, F.col("_drop")), "\n"))
     text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
