@@ -31,11 +31,12 @@ STEMS = (4, 5)
 class Votes:
     """max_labelled: most labelled rows that are learnt from, those of least hash of the id.
     max_features: most words and beginnings, the most telling ones. least_gain: of a feature's
-    log-likelihood ratio. k: neighbours. block: examples in a block of the index."""
+    log-likelihood ratio. least_ratio: of its rates under label 1 and under label 0. k: neighbours. block: examples in a block of the index."""
 
     max_labelled: int = 20_000
     max_features: int = 20_000
-    least_gain: float = 20.0
+    least_gain: float = 15.0
+    least_ratio: float = 8.0
     k: int = 15
     block: int = 64
     threshold: float = 0.5
@@ -72,43 +73,41 @@ class Index:
                 postings[t].append((i, w))
         self.docs = [np.array([i for i, _ in p], np.int32) for p in postings]
         self.weights = [np.array([w for _, w in p], np.float64) for p in postings]
-        self.tops = []
-        for docs, weights in zip(self.docs, self.weights, strict=True):
-            own = docs // block
-            most = np.zeros(own[-1] + 1 if len(own) else 0)
-            np.maximum.at(most, own, weights)
-            where = np.flatnonzero(most)
-            self.tops.append((where, most[where], np.searchsorted(own, where), np.searchsorted(own, where, side="right")))
+        self.owner = [d // block for d in self.docs]
+        self.tops = []  # of each term: its blocks, and the largest weight in each
+        for own, weights in zip(self.owner, self.weights, strict=True):
+            where, place = np.unique(own, return_inverse=True)
+            most = np.zeros(len(where))
+            np.maximum.at(most, place, weights)
+            self.tops.append((where, most))
 
     def nearest(self, query: dict[int, float], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine over zero, ties to the smaller id."""
         bound = np.zeros(self.n_blocks)
         for t, w in query.items():
-            where, most, *_ = self.tops[t]
+            where, most = self.tops[t]
             bound[where] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        places, scores, worst = np.array([], np.int64), np.array([]), 0.0
-        for step in range(0, len(order), 8):
-            some = order[step : step + 8]
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        places, scores, worst, at, step = np.array([], np.int64), np.array([]), 0.0, 0, 8
+        while at < len(order):
+            some = order[at : at + step]
             some = some[bound[some] >= worst - 1e-12]
             if not len(some):
                 break
-            sums: dict[int, np.ndarray] = {int(b): np.zeros(self.block) for b in some}
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[some] = True
+            sums = np.zeros(len(self.ids))
             for t, w in query.items():
-                where, _, first, end = self.tops[t]
-                for j in np.flatnonzero(np.isin(where, some)):
-                    b, part = int(where[j]), slice(first[j], end[j])
-                    sums[b][self.docs[t][part] - b * self.block] += w * self.weights[t][part]
-            for b, row in sums.items():
-                got = np.flatnonzero(row > 0)
-                places, scores = np.concatenate([places, got + b * self.block]), np.concatenate([scores, row[got]])
+                mine = chosen[self.owner[t]]
+                sums[self.docs[t][mine]] += w * self.weights[t][mine]
+            got = np.flatnonzero(sums)
             if but is not None:
-                keep = self.ids[places] != but
-                places, scores = places[keep], scores[keep]
+                got = got[self.ids[got] != but]
+            places, scores = np.concatenate([places, got]), np.concatenate([scores, sums[got]])
             best = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
             places, scores = places[best], scores[best]
             worst = scores[-1] if len(best) == k else 0.0
+            at, step = at + step, 4 * step
         return places, scores
 
 
@@ -198,7 +197,7 @@ def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
         p, n, one = F.col("pos") / all_pos, F.col("neg") / all_neg, (F.col("pos") + F.col("neg")) / (all_pos + all_neg)
         term = lambda got, of, share: F.when(got > 0, 2 * got * F.log(got / (of * share))).otherwise(0.0)
         ratio = term(F.col("pos"), F.lit(all_pos), one) + term(F.col("neg"), F.lit(all_neg), one) + term(all_pos - F.col("pos"), F.lit(all_pos), 1 - one) + term(all_neg - F.col("neg"), F.lit(all_neg), 1 - one)
-        telling = counts.where("f <> ''").where(p > n).withColumn("_g", ratio).where(F.col("_g") >= votes.least_gain)
+        telling = counts.where("f <> ''").where(p >= votes.least_ratio * n).withColumn("_g", ratio).where(F.col("_g") >= votes.least_gain)
         chosen = sorted(r.f for r in telling.orderBy(F.desc("_g"), "f").limit(votes.max_features).select("f").collect())
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(chosen)})
 
