@@ -137,9 +137,10 @@ def _matrix(vectors: list, width: int = 0) -> np.ndarray:
 def _blocks(rows: DataFrame, size: int, pivots: int) -> DataFrame:
     """block, tree (a pickled CoverTree), center, radius, n: rows (id, v) by nearest pivot, ``size`` to a block on average.
 
-    At most ``pivots`` rows are chosen to be pivots, by hash. A cell with many rows, however
+    ``rows`` must be checkpointed. At most ``pivots`` of them are chosen to be pivots, by hash. A cell with many rows, however
     alike they are, is dealt over many blocks.
     """
+    pivots = max(1, min(pivots, -(-rows.count() // size)))  # no more cells than blocks are needed
     some = [r.v for r in rows.select("v", F.xxhash64("id").alias("_h")).orderBy("_h").limit(pivots).collect()]
     base = _matrix(some) if some else np.zeros((1, 1))
 
