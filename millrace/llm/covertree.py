@@ -61,9 +61,20 @@ class CoverTree:
             if nearest.max() <= aim and net > 1:
                 break
             pick = int(np.argmax(nearest))
-        for c in range(net):
-            if (own := at[owner == c]).size:
-                self.kids[me].append(self._add(rows, own, order))
+        groups, few = [], []
+        for c in range(net):  # lone rows share a leaf, so that leaves are worth a product
+            own = at[owner == c]
+            if len(own) > LEAF // 2:
+                groups.append(own)
+            elif len(own):
+                few.append(own)
+                if sum(map(len, few)) > LEAF // 2:
+                    groups.append(np.concatenate(few))
+                    few = []
+        if few:
+            groups.append(np.concatenate(few))
+        for own in groups:
+            self.kids[me].append(self._add(rows, own, order))
         return me
 
 
