@@ -93,8 +93,6 @@ def search(q: CoverTree, d: CoverTree, k: int, floor: dict[int, int]) -> Iterato
 
     def meet(a: slice, b: slice) -> None:
         new = (q.rows[a] @ d.rows[b].T).astype(np.int64)
-        own = q.ids[a, None] == d.ids[None, b]
-        new[own] = np.iinfo(np.int64).min
         who = np.broadcast_to(d.ids[b], new.shape)
         s, i = np.concatenate([scores[a], new], axis=1), np.concatenate([ids[a], who], axis=1)
         best = np.lexsort((i, -s.astype(np.float64)), axis=1)[:, :k]
@@ -173,7 +171,9 @@ def _blocks(rows: DataFrame, size: int, pivots: int) -> DataFrame:
         made = CoverTree(_matrix(list(pdf["v"])), pdf["id"].to_numpy(np.int64))
         return pd.DataFrame({"block": [key[0]], "tree": [pickle.dumps(made)], "center": [made.center[0].tolist()], "radius": [float(made.radius[0])], "n": [len(pdf)]})
 
-    return checkpoint(keyed.groupBy("block").applyInPandas(build, "block string, tree binary, center array<double>, radius double, n long"))
+    made = checkpoint(keyed.groupBy("block").applyInPandas(build, "block string, tree binary, center array<double>, radius double, n long"))
+    total = sum(max(1, -(-n // size)) for n in counts.values())
+    return made.coalesce(max(1, -(-total // 256)))  # partitions follow the blocks, as block pairs multiply those of both sides
 
 
 def _run(pairs: DataFrame, k: int) -> DataFrame:
@@ -197,14 +197,33 @@ def top_k(data: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
     """query_id, rank, vec_id, score: the k rows of ``data`` with the highest inner product, ties to the smaller id.
 
     Vectors are quantised to integers; those null, empty, or with a null or
-    non-finite component take no part, nor do null ids. Rows with the query's
-    id are its own and no candidates; other rows that repeat an id count once. Shorter vectors are
-    filled with zeros. Queries without candidates have no rows.
+    non-finite component take no part, nor do null ids. Of rows that repeat an
+    id the one with the least vector counts. A query's own id is no candidate.
+    Shorter vectors are filled with zeros. Queries without candidates have no rows.
+
+    Equal vectors score alike, so each distinct vector is indexed once for its
+    k + 1 smallest ids, which is all that k results without the query's own id
+    can hold, and is searched once for all queries that share it.
     """
-    rows = checkpoint(data.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).where("id is not null and v is not null"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+
+    def usable(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"))
+        return rows.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+
+    alike = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    rows = checkpoint(usable(data).withColumn("_n", alike).where(F.col("_n") <= k + 1).select("id", "v"))
+    asked = checkpoint(usable(queries))
+    once = checkpoint(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    shared = asked.join(once.select("v", F.col("id").alias("_once")), "v").select("id", "_once")
+    found = _search(rows, once, k + 1, block, group, pivots).withColumnRenamed("query_id", "_once")
+    each = shared.join(found, "_once").where("id <> vec_id").select(F.col("id").alias("query_id"), "vec_id", "score")
+    return _best(each, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, block: int, group: int, pivots: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of ``rows`` (id, v) for each of ``asked`` (id, v); both are checkpointed."""
     d = _blocks(rows, block, pivots).select(*[F.col(c).alias(f"d_{c}") for c in ("block", "tree", "center", "radius")])
-    q = _blocks(checkpoint(asked), group, pivots).select(*[F.col(c).alias(f"q_{c}") for c in ("block", "tree", "center", "radius", "n")])
+    q = _blocks(asked, group, pivots).select(*[F.col(c).alias(f"q_{c}") for c in ("block", "tree", "center", "radius", "n")])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.sqrt(dot(a, a))
     bound = dot("q_center", "d_center") + size("q_center") * F.col("d_radius") + size("d_center") * F.col("q_radius") + F.col("q_radius") * F.col("d_radius")
@@ -220,7 +239,7 @@ def top_k(data: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector
     low = member.join(floors, "query_id", "left").groupBy("q_block").agg(F.collect_list(F.when(F.col("low").isNotNull(), F.struct("query_id", "low"))).alias("_l"), F.min("low").alias("least"), F.count(F.lit(1)).alias("of"))
     rest = pairs.join(first.withColumn("_done", F.lit(True)), ["q_block", "d_block"], "left").where("_done is null").join(low, "q_block").where((F.size("_l") < F.col("of")) | (F.col("bound") >= F.col("least")))
     more = _run(rest.select("q_block", "d_block", F.col("_l.query_id").alias("who"), F.col("_l.low").alias("low")).join(trees_q, "q_block").join(trees_d, "d_block").repartition("q_block", "d_block"), k)
-    return _best(start.select("query_id", "vec_id", "score").union(more), k).select("query_id", "rank", "vec_id", "score")
+    return _best(start.select("query_id", "vec_id", "score").union(more), k).select("query_id", "vec_id", "score")
 
 
 def _members(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
