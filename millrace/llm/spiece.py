@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.llm.util import batches, texts
 
@@ -78,6 +78,27 @@ def rebuild(path: str):  # noqa: ANN201
     return made
 
 
+class Decoder:
+    """Texts from ids by a table of the pieces' bytes; needs neither of the two libraries."""
+
+    def __init__(self, path: str):
+        proto = parse(path)
+        self.table = [self._bytes(p) for p in proto.pieces]
+        self.strip = proto.normalizer_spec.add_dummy_prefix
+
+    @staticmethod
+    def _bytes(piece) -> bytes:  # noqa: ANN001
+        if piece.type == BYTE:
+            return bytes([int(piece.piece[3:5], 16)])
+        if piece.type == CONTROL:
+            return b""
+        return (" ⁇ " if piece.type == UNKNOWN else piece.piece.replace(MARK, " ")).encode()
+
+    def decode(self, ids: bytes) -> str:
+        raw = b"".join(map(self.table.__getitem__, memoryview(ids).cast("I")))
+        return (raw[1:] if self.strip and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 class Codec:
     """Encodes texts by chunks that no piece can cross, each encoded once per worker.
 
@@ -88,7 +109,7 @@ class Codec:
     encoded whole. At most two generations of ``size`` chunks are kept.
     """
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 150_000):
         import sentencepiece
 
         self.proto, self.tokenizer = parse(path), rebuild(path)
@@ -102,16 +123,6 @@ class Codec:
         if self.cut:
             self.tokenizer.normalizer = None  # chunks are normalised before they are cut
         self.size, self.new, self.old = size, {}, {}
-        self.table = [self._bytes(p) for p in self.proto.pieces]
-        self.strip = rule.add_dummy_prefix
-
-    @staticmethod
-    def _bytes(piece) -> bytes:  # noqa: ANN001
-        if piece.type == BYTE:
-            return bytes([int(piece.piece[3:5], 16)])
-        if piece.type == CONTROL:
-            return b""
-        return (" ⁇ " if piece.type == UNKNOWN else piece.piece.replace(MARK, " ")).encode()
 
     def learn(self, chunks: set[str]) -> None:
         missing = [c for c in chunks if c not in self.new]
@@ -157,12 +168,16 @@ class Codec:
             out.append((b"".join([h[0] for h in hits]), all([h[1] for h in hits])))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.table.__getitem__, memoryview(ids).cast("I")))
-        return (raw[1:] if self.strip and raw[:1] == b" " else raw).decode("utf-8", "replace")
-
 
 _CODECS: dict[str, Codec] = {}
+_DECODERS: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    """One decoder for each Python worker, kept from task to task."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
 
 
 def codec(path: str, threads: int = 2) -> Codec:
@@ -195,11 +210,12 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
     """The input with a column ``decoded``: the text of its ids. Null ids give an empty text."""
 
-    @F.pandas_udf("string")
-    def run(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
+    names, at = [*df.columns, "decoded"], df.columns.index(ids_col)
 
-        own = codec(path)
-        return pd.Series([own.decode(bytes(i)) if i is not None else "" for i in ids])
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = decoder(path)
+        for batch in batches(stream, 128):  # texts leave the task as they are made
+            texts = [own.decode(i) if i is not None else "" for i in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return df.withColumn("decoded", run(ids_col))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", StringType())]))
