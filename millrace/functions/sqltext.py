@@ -47,3 +47,73 @@ def failure_stage(c: Column) -> Column:
 def log_metric(c: Column, name: str) -> Column:
     """The value of ``name`` in a training log line: ``'name': x``, ``name=x`` or ``name: x``."""
     return F.regexp_extract(c, rf"(?:^|[^A-Za-z_]){name}'?\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
+
+
+def _bare(c: Column, depth: int = 6) -> Column:
+    """Without what stands in parentheses, nested up to ``depth``; the empty parentheses stay."""
+    for _ in range(depth):
+        c = F.regexp_replace(c, r"\([^()]+\)", "()")
+        c = F.regexp_replace(c, r"\(\(\)", "(")
+    return c
+
+
+def ungrouped(c: Column) -> Column:
+    """Selected items that are neither aggregates nor grouped, in lower case without aliases; empty without GROUP BY."""
+    clause = lambda pattern: F.split(F.regexp_extract(_bare(c), pattern, 1), ",")
+    clean = lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?i)\s+as\s+\w+", ""), F.lit(" \t\r\n")))
+    picked = clause(r"(?is)\bselect\b(.*?)\bfrom\b")
+    grouped = F.transform(clause(r"(?is)\bgroup\s+by\b(.+?)(?:\bhaving\b|\border\b|\blimit\b|;|$)"), clean)
+    plain = F.filter(picked, lambda x: ~x.rlike(r"(?i)\b(?:count|sum|avg|min|max|group_concat|total)\s*\("))
+    items = F.filter(F.transform(plain, clean), lambda x: ~x.isin("", "*"))
+    missing = F.filter(items, lambda x: ~F.array_contains(grouped, x) & ~F.array_contains(grouped, F.substring_index(x, ".", -1)))
+    return F.when(c.rlike(r"(?is)\bgroup\s+by\b.+"), missing).otherwise(F.array().cast("array<string>"))
+
+
+def tables(ddl: Column) -> Column:
+    """Names of the tables that statements create, in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(ddl, F.lit(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?(\w+)"), F.lit(1)), F.lower)))
+
+
+def leak_free(ddl: Column, answer: Column, longer_than: int = 10) -> Column:
+    """Schema statements but those that equal, hold or lie in the answer, compared in lower case with white space collapsed."""
+    plain = lambda s: F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
+    a = plain(F.regexp_replace(F.coalesce(answer, F.lit("")), r";\s*$", ""))
+    leak = lambda s: (a != "") & (F.length(plain(s)) > longer_than) & (plain(s).contains(a) | a.contains(plain(s)))
+    return F.filter(statements(ddl), lambda s: ~leak(s))
+
+
+def suspicious_numbers(sql: Column, question: Column) -> Column:
+    """Distinct numbers of one to four digits in a statement that the question does not hold; 0 and 1 are never suspicious."""
+    found = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b(\d{1,4})\b"), F.lit(1))
+    return F.array_except(F.array_distinct(found(sql)), F.concat(found(question), F.array(F.lit("0"), F.lit("1"))))
+
+
+def sql_failure_stage(c: Column) -> Column:
+    """The first matching rule for a database's error text."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return (
+        F.when(low.rlike("syntax|near"), "syntax").when(low.rlike("no such (table|column)|ambiguous column|unknown column"), "schema")
+        .when(low.rlike("type|mismatch|cast"), "type").when(low.rlike("timeout|timed out"), "timeout").when(low.rlike("memory|too many|slow"), "perf").otherwise("other")
+    )
+
+
+#: What code statistics count, by name: patterns over whole lines or words.
+CODE_COUNTS = {"defs": r"(?m)^[ \t]*(?:async )?def ", "classes": r"(?m)^[ \t]*class ", "loops": r"\b(?:for|while)\b", "branches": r"\b(?:if|elif)\b", "tries": r"\btry\b"}
+
+
+def code_statistics(c: Column) -> Column:
+    """struct of lines, tokens, the counts of ``CODE_COUNTS`` and a cyclomatic number of one more than loops, branches and tries."""
+    n = {k: F.size(F.regexp_extract_all(c, F.lit(f"({p})"), F.lit(1))).cast("long") for k, p in CODE_COUNTS.items()}
+    lines = (F.length(c) - F.length(F.replace(c, F.lit("\n"))) + 1).cast("long")
+    tokens = F.size(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))).cast("long")
+    return F.struct(lines.alias("lines"), tokens.alias("tokens"), *[v.alias(k) for k, v in n.items()], (n["loops"] + n["branches"] + n["tries"] + 1).alias("cyclomatic"))
+
+
+def progress(c: Column) -> Column:
+    """struct<done, total, percent> of a progress bar's ``| 101/339 [``; null without one."""
+    at = lambda n: F.regexp_extract(c, r"\|\s*(\d+)/(\d+)\s*\[", n).try_cast("long")
+    return F.when(at(2) > 0, F.struct(at(1).alias("done"), at(2).alias("total"), F.round(100 * at(1) / at(2), 2).alias("percent")))
+
+
+def total_steps(c: Column) -> Column:
+    return F.regexp_extract(c, r"(?i)total optimization steps\s*[=:]\s*([0-9,]+)", 1).try_cast("long")
