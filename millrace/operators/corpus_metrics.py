@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from millrace.operators.metrics import below
+
 #: The steps of the mteval-13a tokeniser.
 STEPS_13A = (
     ("<skipped>", ""),
@@ -145,9 +147,8 @@ def spearman(df: DataFrame, *, x_col: str, y_col: str) -> DataFrame:
     """rho: correlation of average ranks. Ranks come from running counts of the distinct values; null where one side is constant."""
 
     def ranks(col: str, name: str) -> DataFrame:
-        by = df.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull()).groupBy(F.col(col).alias(f"_{name}")).agg(F.count(F.lit(1)).alias("c"))
-        below = F.coalesce(F.sum("c").over(W.orderBy(f"_{name}").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return by.select(f"_{name}", (below + (F.col("c") + 1) / 2).alias(name))
+        by = df.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull()).groupBy(F.col(col).cast("double").alias(f"_{name}")).agg(F.count(F.lit(1)).alias("c"))
+        return below(by, value_col=f"_{name}", count_col="c", name="_b").select(f"_{name}", (F.col("_b") + (F.col("c") + 1) / 2).alias(name))
 
-    ranked = df.join(ranks(x_col, "rx"), F.col(x_col) == F.col("_rx")).join(ranks(y_col, "ry"), F.col(y_col) == F.col("_ry"))
+    ranked = df.join(ranks(x_col, "rx"), F.col(x_col).cast("double") == F.col("_rx")).join(ranks(y_col, "ry"), F.col(y_col).cast("double") == F.col("_ry"))
     return ranked.agg(F.corr("rx", "ry").alias("rho")).select(F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))

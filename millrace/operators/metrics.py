@@ -25,11 +25,27 @@ def pass_at_k(df: DataFrame, *, task_col: str, passed_col: str, ks: tuple[int, .
     return each.groupBy("k").agg(F.min("n").alias("_n"), F.avg(score).alias("score")).where("_n >= k").select("k", "score")
 
 
+def below(counts: DataFrame, *, value_col: str, count_col: str, name: str, ranges: int = 256) -> DataFrame:
+    """The rows of distinct values with ``name``: the sum of ``count_col`` over all smaller values.
+
+    Values fall into at most ``ranges`` ranges cut at approximate quantiles (the
+    only thing that reaches the driver); each range sums by itself, so no task
+    sees all values. NaN counts as the largest value.
+    """
+    cuts = counts.agg(F.percentile_approx(value_col, [n / ranges for n in range(1, ranges)])).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c < F.col(value_col)))
+    placed = counts.withColumn("_range", part)
+    totals = placed.groupBy("_range").agg(F.sum(count_col).alias("_t"))  # one row for each range
+    offsets = totals.select("_range", F.coalesce(F.sum("_t").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    inside = F.sum(count_col).over(W.partitionBy("_range").orderBy(value_col).rowsBetween(W.unboundedPreceding, -1))
+    ranked = placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(offsets), "_range")
+    return ranked.withColumn(name, F.col("_in") + F.col("_off")).drop("_range", "_in", "_off")
+
+
 def auc(df: DataFrame, *, score_col: str, label_col: str) -> DataFrame:
     """Area under the ROC curve by average ranks of the distinct scores; null for a single class."""
-    by = df.groupBy(F.col(score_col).alias("s")).agg(F.count_if(F.col(label_col) == 1).alias("p"), F.count_if(F.col(label_col) == 0).alias("n"))
-    below = F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1))
-    steps = by.select("p", "n", F.coalesce(below, F.lit(0)).alias("b"))
+    by = df.where(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s")).agg(F.count_if(F.col(label_col) == 1).alias("p"), F.count_if(F.col(label_col) == 0).alias("n"))
+    steps = below(by, value_col="s", count_col="n", name="b")
     return steps.agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2.0)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from millrace.sources import containers
+
 CORRUPT = "_corrupt_record"
 #: Keys under which a JSON document may hold its records, by priority.
 RECORD_KEYS = ("data", "items", "records", "examples", "train", "test", "validation", "val")
 #: Marks in a path and the reader that they call for, by priority.
-KINDS = (("jsonl", "jsonl"), ("json", "json"), ("csv", "csv"), ("tsv", "tsv"), ("parquet", "parquet"), ("orc", "orc"), ("txt", "text"), ("md", "text"))
+KINDS = (("jsonl", "jsonl"), ("json", "json"), ("csv", "csv"), ("tsv", "tsv"), ("parquet", "parquet"), ("arrow", "arrow"), ("orc", "orc"), ("txt", "text"), ("md", "text"))
 DOCS, DATA, SCRIPTS = ("readme", "license", "changelog"), ("json", "jsonl", "csv", "tsv", "parquet", "arrow", "txt"), ("py", "sh", "ipynb", "js")
 
 
@@ -41,8 +43,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     lists = [k for k in RECORD_KEYS if k in df.columns and isinstance(df.schema[k].dataType, ArrayType)]
     if not lists:
         return df
-    item = df.select(F.explode(F.coalesce(*[F.when(F.size(k) > 0, F.col(k)) for k in lists[:1]])).alias("value"))
-    return item.select("value.*") if isinstance(item.schema["value"].dataType, StructType) else item
+    out, taken = None, F.lit(False)
+    for k in lists:  # each document by its own first list that is not empty
+        item = df.where(~taken & (F.size(k) > 0)).select(F.explode(k).alias("value"))
+        part = item.select("value.*") if isinstance(item.schema["value"].dataType, StructType) else item
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        taken = taken | F.coalesce(F.size(k) > 0, F.lit(False))
+    return out
 
 
 def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -54,6 +61,8 @@ def read_records(spark: SparkSession, path: str, kind: str | None = None) -> Dat
         return read_json(spark, path)
     if kind in ("csv", "tsv"):
         return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if kind == "tsv" else ",", multiLine=True, escape='"')
+    if kind == "arrow":
+        return containers.read_arrow(spark, path)
     if kind == "text":
         return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
     return spark.read.format(kind).load(path)
