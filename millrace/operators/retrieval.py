@@ -59,9 +59,15 @@ def page_chunks(pages: DataFrame, *, url_col: str, text_col: str, least_page: in
     return first.select("r.url", "r.chunk_id", "r.total_chunks", "sha", "r.chunk")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(c: Column) -> Column:
+    """A vector as doubles of length one; null for zero vectors and where a component is null."""
+    v = F.transform(c, lambda x: x.cast("double"))
+    norm = F.nullif(F.sqrt(_dot(v, v)), F.lit(0.0))
+    return F.when(norm.isNotNull(), F.transform(v, lambda x: x / norm))
 
 
 def mmr(rows: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, query_id: str = "query_id", query_vec: str = "query", k: int = 15, fetch_k: int = 60, weight: float = 0.5) -> DataFrame:
@@ -72,8 +78,8 @@ def mmr(rows: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, query
     window), so a query's group never exceeds ``fetch_k`` rows a task. Null and
     zero vectors take no part; ties go to the smaller id.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))
-    scored = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).join(q, F.size("_v") == F.size("_q")).withColumn("relevance", cosine(F.col("_v"), F.col("_q")))
+    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(query_vec)).alias("_q"))
+    scored = rows.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("_v")).join(q, F.size("_v") == F.size("_q")).withColumn("relevance", _dot(F.col("_v"), F.col("_q")))
     order = W.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
     near = scored.where("relevance is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fetch_k).select("query_id", "id", "relevance", "_v")
 
@@ -82,7 +88,6 @@ def mmr(rows: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, query
 
         group = group.sort_values(["relevance", "id"], ascending=[False, True], ignore_index=True)
         v = np.array(group["_v"].tolist(), dtype=np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
         rel, near, chosen = group["relevance"].to_numpy(), np.zeros(len(group)), []
         open_ = np.ones(len(group), dtype=bool)
         for _ in range(min(k, len(group))):

@@ -16,12 +16,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with the SQL that gives the same rows."""
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL that gives the same rows (None where SQL cannot)."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
