@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,24 +51,31 @@ def log_metric(c: Column, name: str) -> Column:
     return F.regexp_extract(c, rf"(?:^|[^A-Za-z_]){name}'?\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _bare(c: Column, depth: int = 6) -> Column:
-    """Without what stands in parentheses, nested up to ``depth``; the empty parentheses stay."""
+    """Without what stands in parentheses, nested up to ``depth``; empty parentheses stay."""
     for _ in range(depth):
-        c = F.regexp_replace(c, r"\([^()]+\)", "()")
-        c = F.regexp_replace(c, r"\(\(\)", "(")
+        c = F.regexp_replace(c, r"\((?:[^()]++|\(\))+\)", "()")
     return c
 
 
 def ungrouped(c: Column) -> Column:
     """Selected items that are neither aggregates nor grouped, in lower case without aliases; empty without GROUP BY."""
-    clause = lambda pattern: F.split(F.regexp_extract(_bare(c), pattern, 1), ",")
+    none = F.array().cast("array<string>")
     clean = lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?i)\s+as\s+\w+", ""), F.lit(" \t\r\n")))
-    picked = clause(r"(?is)\bselect\b(.*?)\bfrom\b")
-    grouped = F.transform(clause(r"(?is)\bgroup\s+by\b(.+?)(?:\bhaving\b|\border\b|\blimit\b|;|$)"), clean)
-    plain = F.filter(picked, lambda x: ~x.rlike(r"(?i)\b(?:count|sum|avg|min|max|group_concat|total)\s*\("))
-    items = F.filter(F.transform(plain, clean), lambda x: ~x.isin("", "*"))
-    missing = F.filter(items, lambda x: ~F.array_contains(grouped, x) & ~F.array_contains(grouped, F.substring_index(x, ".", -1)))
-    return F.when(c.rlike(r"(?is)\bgroup\s+by\b.+"), missing).otherwise(F.array().cast("array<string>"))
+
+    def missing(bare: Column) -> Column:
+        clause = lambda pattern: F.split(F.regexp_extract(bare, pattern, 1), ",")
+        grouped = F.transform(clause(r"(?is)\bgroup\s+by\b(.+?)(?:\bhaving\b|\border\b|\blimit\b|;|$)"), clean)
+        plain = F.filter(clause(r"(?is)\bselect\b(.*?)\bfrom\b"), lambda x: ~x.rlike(r"(?i)\b(?:count|sum|avg|min|max|group_concat|total)\s*\("))
+        items = F.filter(F.transform(plain, clean), lambda x: ~x.isin("", "*"))
+        return _once(grouped, lambda g: F.filter(items, lambda x: ~F.array_contains(g, x) & ~F.array_contains(g, F.substring_index(x, ".", -1))))
+
+    return F.when(c.rlike(r"(?i)\bgroup\s+by\b"), _once(_bare(c), missing)).otherwise(none)
 
 
 def tables(ddl: Column) -> Column:
