@@ -1,114 +1,164 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over words and word beginnings that labels prove
-telling. The nearest examples by exact cosine come from an inverted index in
-blocks: the blocks' largest weights bound every score in a block, and blocks
-that cannot reach the k-th best score are left out. Distance-weighted votes
-of the neighbours, calibrated on the examples themselves, give the score, and
-the neighbours are its evidence.
+Texts are TF-IDF vectors over all words and word beginnings of the labelled
+examples. None is left out; those that labels prove telling weigh more. The
+nearest examples by exact cosine come from an inverted index in blocks: scores
+over rarer features are summed from their postings, the blocks' largest
+weights bound what common features can add, and blocks that cannot reach the
+k-th best score are left out. Distance-weighted votes of the neighbours,
+calibrated on the examples themselves, give the score, and the neighbours are
+its evidence.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from millrace.llm.util import batches, checkpoint, texts
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 STEMS = (4, 5)
+#: Features that an index keeps as columns, those in most examples.
+COMMON = 1024
+#: Portions in which the driver takes in the examples.
+PARTS = 8
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
 class Votes:
     """max_labelled: most labelled rows that are learnt from, those of least hash of the id.
-    max_features: most words and beginnings, the most telling ones. least_gain: of a feature's
-    log-likelihood ratio. least_ratio: of its rates under label 1 and under label 0. k: neighbours. block: examples in a block of the index."""
+    chance: a feature's log-likelihood ratio that chance may give; what is above it adds to the
+    feature's weight. k: neighbours. block: examples in a block of the index."""
 
     max_labelled: int = 20_000
-    max_features: int = 20_000
-    least_gain: float = 15.0
-    least_ratio: float = 8.0
+    chance: float = 15.0
     k: int = 15
     block: int = 64
     threshold: float = 0.5
 
 
-def features(text: str) -> set[str]:
-    """Its words in lower case, and the beginnings of longer ones, marked."""
-    words = set(_WORDS(text.lower()))
-    return words | {"^" + w[:n] for w in words for n in STEMS if len(w) > n}
-
-
-def gain(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
-    """Signed log-likelihood ratio of a feature's documents against the label."""
-    total = all_pos + all_neg
-    seen, out = pos + neg, 0.0
+def gain(pos: np.ndarray, neg: np.ndarray, all_pos: int, all_neg: int) -> np.ndarray:
+    """Signed log-likelihood ratios of features' documents against the label."""
+    share, out = (pos + neg) / (all_pos + all_neg), np.zeros(len(pos))
     for got, of in ((pos, all_pos), (neg, all_neg)):
-        for n, share in ((got, seen / total), (of - got, 1 - seen / total)):
-            if n:
-                out += 2 * n * math.log(n / (of * share))
-    return out if pos * all_neg > neg * all_pos else -out
+        for n, expected in ((got, of * share), (of - got, of * (1 - share))):
+            out += 2 * n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, expected, 1))
+    return np.where(pos * all_neg > neg * all_pos, out, -out)
 
 
 class Index:
     """Block-max inverted index of unit vectors, examples ordered so that like ones share blocks."""
 
     def __init__(self, examples: list[tuple[int, int, dict[int, float]]], n_terms: int, block: int):
-        examples = sorted(examples, key=lambda e: (max(e[2], key=lambda t: (e[2][t], t)), sorted(e[2]), e[0]))
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], np.float64)
-        self.block, self.n_blocks = block, -(-len(examples) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, e in enumerate(examples):
-            for t, w in e[2].items():
-                postings[t].append((i, w))
-        self.docs = [np.array([i for i, _ in p], np.int32) for p in postings]
-        self.weights = [np.array([w for _, w in p], np.float64) for p in postings]
-        self.owner = [d // block for d in self.docs]
-        self.tops = []  # of each term: its blocks, and the largest weight in each
-        for own, weights in zip(self.owner, self.weights, strict=True):
-            where, place = np.unique(own, return_inverse=True)
-            most = np.zeros(len(where))
-            np.maximum.at(most, place, weights)
-            self.tops.append((where, most))
+        flat = [x for e in examples for x in sorted(e[2].items())]
+        self._build(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64), np.array([len(e[2]) for e in examples], np.int64), np.array([t for t, _ in flat], np.int32), np.array([w for _, w in flat], np.float64), np.ones(len(examples)), n_terms, block)
+
+    @classmethod
+    def of(cls, *columns) -> Index:
+        """From columns: ids, labels, features of each example, then their places and weights one after another; the examples' lengths, by which weights are divided; the number of features, the block.
+        With a weight of each feature last, the weights are counts."""
+        made = cls.__new__(cls)
+        made._build(*columns)
+        return made
+
+    def _build(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray, n_terms: int, block: int, scale: np.ndarray | None = None) -> None:
+        n = len(ids)
+        row, seen = np.repeat(np.arange(n, dtype=np.int32), sizes), np.bincount(terms, minlength=n_terms)
+        most = np.argsort(-seen, kind="stable")[:COMMON]
+        most = most[50 * seen[most] > n]
+        self.column = np.full(n_terms, -1, np.int16)
+        self.column[most] = np.arange(len(most))
+        col = self.column[terms]
+        own = col >= 0
+        rows, cols, values = row[own], col[own], weights[own] if scale is None else (1 + np.log(weights[own].astype(np.float64))) * scale[terms[own]]
+        by = np.lexsort((values, rows))
+        top = by[np.flatnonzero(np.append(np.diff(rows[by]) != 0, True))] if len(by) else by  # each example's heaviest common feature
+        kind, size = np.full(n, -1), np.zeros(n)
+        kind[rows[top]], size[rows[top]] = cols[top], values[top] / lengths[rows[top]]
+        order = np.lexsort((ids, size, kind))
+        small = np.uint16 if n <= 1 << 16 else np.int32
+        place = np.empty(n, small)
+        place[order] = np.arange(n, dtype=small)
+        self.ids, self.labels, self.lengths, self.block = ids[order], labels[order], lengths[order], block
+        self.starts = np.arange(0, n, block)
+        self.rows, self.cols, self.values, self.n_common = place[rows], cols, values, len(most)
+        del rows, cols, values
+        by = np.argsort(terms, kind="stable").astype(np.int32)
+        by = by[~own[by]]
+        self.docs = place[row[by]]
+        del row, own, col
+        self.weights, self.scale = weights[by], scale
+        self.first = np.concatenate([[0], np.cumsum(np.where(self.column >= 0, 0, seen))])
+        self.head: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        """Arrays packed; counts are few different numbers."""
+        return {k: (zlib.compress(v.tobytes(), 1), v.dtype.str) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: np.frombuffer(zlib.decompress(v[0]), v[1]) if isinstance(v, tuple) else v for k, v in state.items()})
+
+    def _open(self) -> None:
+        """Unit weights, made where they are used; common features as columns, with the largest weights of each block."""
+        if self.scale is not None:
+            self.weights = (1 + np.log(self.weights.astype(np.float64))) * np.repeat(self.scale, np.diff(self.first))
+        self.weights = self.weights / self.lengths[self.docs]
+        self.head = np.zeros((len(self.ids), self.n_common))
+        self.head[self.rows, self.cols] = self.values / self.lengths[self.rows]
+        self.tops = np.maximum.reduceat(self.head, self.starts, axis=0)
+
+    def nearest_all(self, queries: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query, places and cosines of the k nearest examples with a cosine over zero, ties to the smaller id."""
+        if self.head is None:
+            self._open()
+        n, ask, sums = len(self.ids), np.zeros((len(queries), self.head.shape[1])), np.empty((len(queries), len(self.ids)))
+        for i, (terms, weights) in enumerate(queries):
+            col = self.column[terms]
+            own = col >= 0
+            ask[i, col[own]] = weights[own]
+            terms, weights = terms[~own], weights[~own]
+            first = self.first[terms]
+            many = self.first[terms + 1] - first
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            sums[i] = np.bincount(self.docs[at], weights=self.weights[at] * np.repeat(weights, many), minlength=n)
+            if but is not None:
+                sums[i, self.ids == but[i]] = -np.inf
+        bound = ask @ self.tops.T + np.maximum.reduceat(sums, self.starts, axis=1)
+        worst = np.zeros(len(queries))
+        done = np.zeros(bound.shape, bool)
+        # The best block of each query first: its scores raise what the other blocks must reach.
+        for want in (bound >= bound.max(axis=1, keepdims=True), None):
+            if want is None:
+                if n > k:
+                    worst = np.maximum(np.partition(sums, n - k, axis=1)[:, n - k], 0.0)
+                want = ~done & (bound > 0) & (bound >= worst[:, None] - 1e-9)
+            for b in np.flatnonzero(want.any(axis=0)):
+                mine, a = np.flatnonzero(want[:, b]), self.starts[b]
+                sums[mine, a : a + self.block] += ask[mine] @ self.head[a : a + self.block].T
+            done |= want
+        out = []
+        for i in range(len(queries)):
+            got = np.flatnonzero((sums[i] > 1e-15) & (sums[i] >= worst[i] - 1e-9))
+            best = got[np.lexsort((self.ids[got], -np.round(sums[i][got], 12)))[:k]]
+            out.append((best, sums[i][best]))
+        return out
 
     def nearest(self, query: dict[int, float], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine over zero, ties to the smaller id."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in query.items():
-            where, most = self.tops[t]
-            bound[where] += w * most
-        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
-        places, scores, worst, at, step = np.array([], np.int64), np.array([]), 0.0, 0, 8
-        while at < len(order):
-            some = order[at : at + step]
-            some = some[bound[some] >= worst - 1e-12]
-            if not len(some):
-                break
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[some] = True
-            sums = np.zeros(len(self.ids))
-            for t, w in query.items():
-                mine = chosen[self.owner[t]]
-                sums[self.docs[t][mine]] += w * self.weights[t][mine]
-            got = np.flatnonzero(sums)
-            if but is not None:
-                got = got[self.ids[got] != but]
-            places, scores = np.concatenate([places, got]), np.concatenate([scores, sums[got]])
-            best = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
-            places, scores = places[best], scores[best]
-            worst = scores[-1] if len(best) == k else 0.0
-            at, step = at + step, 4 * step
-        return places, scores
+        terms = np.array(list(query), np.int64)
+        return self.nearest_all([(terms, np.array(list(query.values()), np.float64))], k, None if but is None else [but])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,123 +174,175 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Vocabulary, inverse document frequencies, index and calibration."""
+    """Features by hash, their weights and index."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, base: float, empty: float):
-        self.place, self.idf, self.base, self.empty = {w: i for i, w in enumerate(vocabulary)}, idf, base, empty
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray, base: float, empty: float):
+        self.hashes, self.weight, self.base, self.empty = hashes, weight, base, empty
         self.index: Index | None = None
-        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def vector(self, tf: dict[int, int]) -> dict[int, float]:
-        made = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
-        size = math.sqrt(sum(w * w for w in made.values()))
-        return {t: w / size for t, w in made.items()} if size else {}
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"weight": zlib.compress(self.weight.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"weight": np.frombuffer(zlib.decompress(state["weight"]))})
+
+    def weights(self, hashes: np.ndarray, counts: np.ndarray) -> Vector:
+        """Places and TF-IDF weights of the features that the examples have too."""
+        if not len(self.hashes):
+            return np.array([], np.int64), np.array([])
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        return at[known], (1 + np.log(counts[known])) * self.weight[at[known]]
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> Vector:
+        """The same, of unit length."""
+        at, made = self.weights(hashes, counts)
+        return at, made / max(math.sqrt(float(made @ made)), 1e-300)
+
+    def votes(self, queries: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        out = []
+        for places, scores in self.index.nearest_all(queries, k, but):
+            labels = self.index.labels[places]
+            raw = (float(scores @ labels) + 0.1 * self.base) / (float(scores.sum()) + 0.1)
+            out.append((raw, [(int(i), float(s), int(y)) for i, s, y in zip(self.index.ids[places], scores, labels, strict=True)]))
+        return out
+
+    def scores(self, found: list[Vector], k: int, steps: Vector) -> list[tuple[float, list]]:
+        """Score, calibrated by ``steps``, and neighbours of texts, given as hashes of their features and counts."""
+        queries = [self.vector(h, c) for h, c in found]
+        some = [i for i, (t, _) in enumerate(queries) if len(t)] if self.index else []
+        out: list[tuple[float, list]] = [(self.empty, [])] * len(queries)
+        for i, (raw, near) in zip(some, self.votes([queries[i] for i in some], k) if some else [], strict=True):
+            out[i] = (float(np.interp(raw, *steps)), near)
+        return out
+
+
+def count_terms(text: str, memo: dict[str, tuple[int, ...]]) -> Vector:
+    """Hashes, in order, of its words in lower case and of the beginnings of longer ones, marked; how often each occurs."""
+    found: dict[int, int] = {}
+    for w, n in Counter(_WORDS(text.lower())).items():
+        if (hashes := memo.get(w)) is None:
+            if len(memo) > 100_000:
+                memo.clear()
+            hashes = memo[w] = tuple(xxh64_intdigest(f) for f in (w, *("^" + w[:m] for m in STEMS if len(w) > m)))
+        for h in hashes:
+            found[h] = found.get(h, 0) + n
+    keys, counts = np.fromiter(found, np.uint64, len(found)).view(np.int64), np.fromiter(found.values(), np.int32, len(found))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
-    def vote(self, query: dict[int, float], k: int, but: int | None = None) -> tuple[float, list[tuple[int, float, int]]]:
-        places, scores = self.index.nearest(query, k, but)
-        labels = self.index.labels[places]
-        raw = (float(scores @ labels) + 0.1 * self.base) / (float(scores.sum()) + 0.1)
-        return raw, [(int(i), float(s), int(y)) for i, s, y in zip(self.index.ids[places], scores, labels, strict=True)]
 
-    def score(self, tf: dict[int, int], k: int) -> tuple[float, list]:
-        if not tf or self.index is None:
-            return self.empty, []
-        raw, near = self.vote(self.vector(tf), k)
-        return float(np.interp(raw, *self.steps)), near
+def _packed(found: list[Vector]) -> list[pa.Array]:
+    return [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in found], pa.binary())]
 
 
-def count_terms(text: str, place: dict[str, int]) -> dict[int, int]:
-    """How often each feature of the vocabulary occurs."""
-    found: Counter[int] = Counter()
-    for w, n in Counter(_WORDS(text.lower())).items():
-        for f in (w, *("^" + w[:m] for m in STEMS if len(w) > m)):
-            if (t := place.get(f)) is not None:
-                found[t] += n
-    return dict(sorted(found.items()))
+def _unpacked(hashes: pa.Array, counts: pa.Array) -> list[Vector]:
+    return [(np.frombuffer(h, np.int64), np.frombuffer(zlib.decompress(c), np.int32)) for h, c in zip(hashes.to_pylist(), counts.to_pylist(), strict=True)]
 
 
-def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, votes: Votes) -> tuple[Model, DataFrame]:
-    """The model, and the term counts of every document of ``df``: (doc_id, terms map<int, int>).
+def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, votes: Votes) -> tuple[Broadcast, Vector]:
+    """The model, sent to the executors, and the steps that calibrate it.
 
     Conflicting labels of one id: the largest counts; null ids and labels are
-    left out. ``labels`` must hold only rows that may be learnt from.
+    left out. Texts that share a labelled id are an example each. ``labels``
+    must hold only rows that may be learnt from.
     """
     spark = df.sparkSession
     docs = texts(df, id_col, text_col)
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("_y")).where("doc_id is not null and _y is not null").groupBy("doc_id").agg(F.max("_y").alias("_y"))
     known = checkpoint(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(votes.max_labelled))
     # Bounded by max_labelled rows of two numbers, so small enough to send to every task.
-    own = docs.join(F.broadcast(known), "doc_id")
+    own = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "_y", F.xxhash64("text").alias("_h"))
 
-    def tell(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos: Counter[str] = Counter()
-        neg: Counter[str] = Counter()
+    def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, ...]] = {}
         for batch in batches(stream, 128):
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = features(text)
-                found.add("")  # counts the documents
-                (pos if y else neg).update(found)
-            if len(pos) + len(neg) > 300_000:
-                yield out(pos, neg)
-                pos, neg = Counter(), Counter()
-        yield out(pos, neg)
-
-    def out(pos: Counter, neg: Counter) -> pa.RecordBatch:
-        names = sorted(pos.keys() | neg.keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], ["f", "pos", "neg"])
-
-    counts = checkpoint(own.select("doc_id", "text", "_y").mapInArrow(tell, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    top = counts.where("f = ''").first()
-    all_pos, all_neg = (int(top.pos), int(top.neg)) if top else (0, 0)
-    chosen: list[str] = []
+            found = [count_terms(t, memo) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), *_packed(found)], ["doc_id", "_y", "_h", "hashes", "counts"])
+
+    held = checkpoint(own.mapInArrow(count, "doc_id long, _y int, _h long, hashes binary, counts binary"))
+    n_rows, n_kinds = held.agg(F.count(F.lit(1)), F.countDistinct("doc_id", "_h")).first()
+    if n_rows > n_kinds:
+        held = held.dropDuplicates(["doc_id", "_h"])
+    if n_kinds > votes.max_labelled:  # many texts of one id
+        held = checkpoint(held.orderBy("doc_id", "_h").limit(votes.max_labelled))
+
+    def tell(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, 1024):
+            parts = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
+            hashes, at = np.unique(np.concatenate(parts), return_inverse=True)
+            y = np.repeat(np.array(batch.column(0).to_pylist()) > 0, [len(p) for p in parts])
+            pos = np.bincount(at[y], minlength=len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(pos), pa.array(np.bincount(at, minlength=len(hashes)) - pos)], ["f", "pos", "neg"])
+
+    counts = held.select("_y", "hashes").mapInArrow(tell, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    hashes, pos, neg = (counts.column(n).to_numpy() for n in ("f", "pos", "neg"))
+    order = np.argsort(hashes)
+    hashes, pos, neg = hashes[order], pos[order], neg[order]
+    tally = {(r[0], r[1]): r[2] for r in held.groupBy(F.col("_y") > 0, F.length("hashes") > 0).agg(F.count(F.lit(1))).collect()}
+    all_pos, all_neg = (sum(n for (y, _), n in tally.items() if y is kind) for kind in (True, False))
+    none, total = (tally.get((True, False), 0), tally.get((False, False), 0)), all_pos + all_neg
+    weight = np.log((1 + total) / (1 + pos + neg)) + 1
     if all_pos and all_neg:
-        p, n, one = F.col("pos") / all_pos, F.col("neg") / all_neg, (F.col("pos") + F.col("neg")) / (all_pos + all_neg)
-        term = lambda got, of, share: F.when(got > 0, 2 * got * F.log(got / (of * share))).otherwise(0.0)
-        ratio = term(F.col("pos"), F.lit(all_pos), one) + term(F.col("neg"), F.lit(all_neg), one) + term(all_pos - F.col("pos"), F.lit(all_pos), 1 - one) + term(all_neg - F.col("neg"), F.lit(all_neg), 1 - one)
-        telling = counts.where("f <> ''").where(p >= votes.least_ratio * n).withColumn("_g", ratio).where(F.col("_g") >= votes.least_gain)
-        chosen = sorted(r.f for r in telling.orderBy(F.desc("_g"), "f").limit(votes.max_features).select("f").collect())
-    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(chosen)})
-
-    def weigh(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, 256):
-            found = [count_terms(t, place.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
-
-    vectors = checkpoint(docs.mapInArrow(weigh, "doc_id long, terms array<int>, counts array<int>"))
-    n_docs = vectors.count()
-    seen = {r[0]: r[1] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1))).collect()}
-    idf = np.array([math.log((1 + n_docs) / (1 + seen.get(i, 0))) + 1 for i in range(len(chosen))])
-    held = vectors.join(F.broadcast(known), "doc_id")
-    none = {r[0]: r[1] for r in held.where("size(terms) = 0").groupBy("_y").agg(F.count(F.lit(1))).collect()}
-    total = max(1, all_pos + all_neg)
-    model = Model(chosen, idf, all_pos / total, (none.get(1, 0) + 0.5) / (sum(none.values()) + 1) if total > 1 else 0.0)
-    rows_ = held.where("size(terms) > 0").orderBy("doc_id").limit(votes.max_labelled).collect()  # the labelled rows' few terms, bounded
-    examples = {r.doc_id: (r.doc_id, r._y, model.vector(dict(zip(r.terms, r.counts, strict=True)))) for r in rows_}
-    if examples:
-        model.index = Index(list(examples.values()), len(chosen), votes.block)
-        raw = np.array([model.vote(v, votes.k, but=i)[0] for i, _, v in examples.values()])
-        model.steps = isotonic(raw, np.array([float(y) for _, y, _ in examples.values()]))
-    return model, vectors
+        weight *= 1 + np.maximum(gain(pos, neg, all_pos, all_neg) - votes.chance, 0)
+    base = all_pos / max(1, total)
+    model = Model(hashes, weight, base, (none[0] + base) / (sum(none) + 1) if total > 1 else 0.0)
+    steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    if not len(hashes):
+        return spark.sparkContext.broadcast(model), steps
+    held = held.where("length(hashes) > 0")
+    del counts, order, pos, neg
+    # The labelled rows, bounded, some at a time.
+    ids, kinds, terms, often, lengths, sizes = [], [], [], [], [], []
+    for part in range(PARTS):
+        got = held.where(F.pmod("_h", F.lit(PARTS)) == part).select("doc_id", "_y", "hashes", "counts").toArrow()
+        for batch in got.to_batches(512):
+            ids += batch.column(0).to_pylist()
+            kinds += batch.column(1).to_pylist()
+            some = _unpacked(batch.column(2), batch.column(3))  # all their features are the model's
+            made = [model.weights(*found) for found in some]
+            lengths += [math.sqrt(float(w @ w)) for _, w in made]
+            sizes += [len(t) for t, _ in made]
+            terms.append(np.concatenate([t for t, _ in made]).astype(np.int32))
+            times = np.concatenate([c for _, c in some])
+            often.append(times.astype(np.uint16) if times.max() < 1 << 16 else times)
+            del some, made
+        del got
+    terms = np.concatenate(terms)
+    often = np.concatenate(often)
+    model.index = Index.of(np.array(ids), np.array([float(y > 0) for y in kinds]), np.array(sizes), terms, often, np.array(lengths), len(hashes), votes.block, weight)
+    del terms, often
+    shared = spark.sparkContext.broadcast(model)
+
+    def judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches(stream, 128):
+            queries = [own.vector(*found) for found in _unpacked(batch.column(2), batch.column(3))]
+            raw = [r for r, _ in own.votes(queries, votes.k, but=batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(1)], ["raw", "_y"])
+
+    raw = held.select("doc_id", "_y", "hashes", "counts").mapInArrow(judge, "raw double, _y int").toArrow()
+    return shared, isotonic(raw.column(0).to_numpy(), (raw.column(1).to_numpy() > 0).astype(float))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", votes: Votes | None = None) -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: doc_id, cosine, label) of each row.
 
-    Null and empty texts, and texts without a telling word, get the rate of
-    label 1 among such labelled texts, with no evidence. Without labels of
-    both kinds all scores are that rate. Repeated rows each give a row.
+    Null and empty texts, and texts that share no word with any example, get
+    the rate of label 1 among labelled texts without words (with one more of the
+    rate of all), with no evidence.
+    Repeated rows each give a row.
     """
     votes = votes or Votes()
-    model, vectors = learn(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, votes=votes)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, steps = learn(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, votes=votes)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches(stream, 2048):
-            got = [own.score(dict(zip(t, c, strict=True)), votes.k) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        own, memo = shared.value, {}
+        for batch in batches(stream, 128):
+            got = own.scores([count_terms(t, memo) for t in batch.column(1).to_pylist()], votes.k, steps)
             near = [[{"doc_id": i, "cosine": s, "label": y} for i, s, y in n] for _, n in got]
             scores = [s for s, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= votes.threshold) for s in scores], pa.int32()), pa.array(near, kind)], ["doc_id", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= votes.threshold) for s in scores], pa.int32()), pa.array(near, kind)], ["doc_id", "score", "predicted", "evidence"])
 
-    return vectors.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")

@@ -248,6 +248,30 @@ def test_toxicity_index_is_exact_and_learns(spark):
     assert toxicity(df, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_searches_all_words(spark):
+    from millrace.llm.toxicity import STEMS, toxicity
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)]
+    rows = [(i, " ".join(rng.choice(words, 12)), int(i % 7 == 0)) for i in range(120)]
+    df = spark.createDataFrame([r[:2] for r in rows] + [(500, " ".join(words[:3])), (501, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).collect()}
+    # No word is telling here, so the plain TF-IDF of every word and beginning is what must be searched.
+    tf = {i: Counter(f for w in t.split() for f in (w, *("^" + w[:n] for n in STEMS))) for i, t, _ in [*rows, (500, " ".join(words[:3]), 0)]}
+    seen = Counter(f for i, _, _ in rows for f in tf[i])
+
+    def vector(i):
+        v = {f: (1 + np.log(n)) * (np.log(121 / (1 + seen[f])) + 1) for f, n in tf[i].items() if f in seen}
+        return {f: w / sum(x * x for x in v.values()) ** 0.5 for f, w in v.items()}
+
+    vectors = {i: vector(i) for i in tf}
+    for i in tf:
+        brute = sorted((-round(sum(w * vectors[j].get(f, 0) for f, w in vectors[i].items()), 9), j) for j, _, _ in rows)
+        want = [(-s, j) for s, j in brute[:15] if s < 0]
+        assert [round(e.cosine, 9) for e in got[i].evidence] == pytest.approx([s for s, _ in want], abs=2e-9) and len(want) > 0
+    assert got[501].evidence == []
+
+
 def _quality(text):
     text = text or ""
     words, n = re.findall(r"[^\x20\x09-\x0D]+", text), 0
