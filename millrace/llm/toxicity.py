@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over all words and word beginnings of the labelled
-examples. None is left out; those that labels prove telling weigh more. The
-nearest examples by exact cosine come from an inverted index in blocks: scores
-over rarer features are summed from their postings, the blocks' largest
-weights bound what common features can add, and blocks that cannot reach the
-k-th best score are left out. Distance-weighted votes of the neighbours,
-calibrated on the examples themselves, give the score, and the neighbours are
-its evidence.
+Texts are TF-IDF vectors over all words of the labelled examples. None is left
+out; those that labels prove telling weigh more. The nearest examples by exact
+cosine come from an inverted index in blocks: scores over rarer words are
+summed from their postings, the blocks' largest weights bound what common
+words can add, and blocks that cannot reach the k-th best score are left out.
+Distance-weighted votes of the neighbours give the score, calibrated on a
+fifth of the examples that had no part in saying which words are telling, and
+the neighbours are its evidence.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from xxhash import xxh64_intdigest
 from millrace.llm.util import batches, checkpoint, texts
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
-STEMS = (4, 5)
+#: One example in so many calibrates the votes.
+FOLDS = 5
 #: Features that an index keeps as columns, those in most examples.
 COMMON = 1024
 #: Portions in which the driver takes in the examples.
@@ -39,11 +40,12 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class Votes:
-    """max_labelled: most labelled rows that are learnt from, those of least hash of the id.
+    """max_labelled: most labelled rows that are learnt from, those of least hash of the id: a sample
+    of a bounded size, so that the index has a bounded size too.
     chance: a feature's log-likelihood ratio that chance may give; what is above it adds to the
     feature's weight. k: neighbours. block: examples in a block of the index."""
 
-    max_labelled: int = 20_000
+    max_labelled: int = 10_000
     chance: float = 15.0
     k: int = 15
     block: int = 64
@@ -217,17 +219,10 @@ class Model:
         return out
 
 
-def count_terms(text: str, memo: dict[str, tuple[int, ...]]) -> Vector:
-    """Hashes, in order, of its words in lower case and of the beginnings of longer ones, marked; how often each occurs."""
-    found: dict[int, int] = {}
-    for w, n in Counter(_WORDS(text.lower())).items():
-        if (hashes := memo.get(w)) is None:
-            if len(memo) > 100_000:
-                memo.clear()
-            hashes = memo[w] = tuple(xxh64_intdigest(f) for f in (w, *("^" + w[:m] for m in STEMS if len(w) > m)))
-        for h in hashes:
-            found[h] = found.get(h, 0) + n
-    keys, counts = np.fromiter(found, np.uint64, len(found)).view(np.int64), np.fromiter(found.values(), np.int32, len(found))
+def count_terms(text: str) -> Vector:
+    """Hashes, in order, of its words in lower case; how often each occurs."""
+    found = Counter(_WORDS(text.lower()))
+    keys, counts = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)).view(np.int64), np.fromiter(found.values(), np.int32, len(found))
     order = np.argsort(keys)
     return keys[order], counts[order]
 
@@ -244,23 +239,24 @@ def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     """The model, sent to the executors, and the steps that calibrate it.
 
     Conflicting labels of one id: the largest counts; null ids and labels are
-    left out. Texts that share a labelled id are an example each. ``labels``
-    must hold only rows that may be learnt from.
+    left out. Texts that share a labelled id are an example each; rows that
+    repeat id and text are one. Texts without words are counted, but no
+    examples. No labels: a model that scores 0. ``labels`` must hold only rows
+    that may be learnt from.
     """
     spark = df.sparkSession
     docs = texts(df, id_col, text_col)
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("_y")).where("doc_id is not null and _y is not null").groupBy("doc_id").agg(F.max("_y").alias("_y"))
     known = checkpoint(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(votes.max_labelled))
     # Bounded by max_labelled rows of two numbers, so small enough to send to every task.
-    own = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "_y", F.xxhash64("text").alias("_h"))
+    own = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "_y", F.xxhash64("text").alias("_h"), (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) > 0).alias("_fits"))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[int, ...]] = {}
         for batch in batches(stream, 128):
-            found = [count_terms(t, memo) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), *_packed(found)], ["doc_id", "_y", "_h", "hashes", "counts"])
+            found = [count_terms(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *batch.columns[2:], *_packed(found)], ["doc_id", "_y", "_h", "_fits", "hashes", "counts"])
 
-    held = checkpoint(own.mapInArrow(count, "doc_id long, _y int, _h long, hashes binary, counts binary"))
+    held = checkpoint(own.mapInArrow(count, "doc_id long, _y int, _h long, _fits boolean, hashes binary, counts binary"))
     n_rows, n_kinds = held.agg(F.count(F.lit(1)), F.countDistinct("doc_id", "_h")).first()
     if n_rows > n_kinds:
         held = held.dropDuplicates(["doc_id", "_h"])
@@ -269,29 +265,31 @@ def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
 
     def tell(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 1024):
-            parts = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
+            parts = [np.frombuffer(h, np.int64) for h in batch.column(2).to_pylist()]
             hashes, at = np.unique(np.concatenate(parts), return_inverse=True)
-            y = np.repeat(np.array(batch.column(0).to_pylist()) > 0, [len(p) for p in parts])
-            pos = np.bincount(at[y], minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(pos), pa.array(np.bincount(at, minlength=len(hashes)) - pos)], ["f", "pos", "neg"])
+            y, fits = (np.repeat(np.array(c), [len(p) for p in parts]) for c in (np.array(batch.column(0).to_pylist()) > 0, batch.column(1).to_pylist()))
+            pos, neg = (np.bincount(at[m & fits], minlength=len(hashes)) for m in (y, ~y))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, np.bincount(at, minlength=len(hashes)), pos, neg)], ["f", "seen", "pos", "neg"])
 
-    counts = held.select("_y", "hashes").mapInArrow(tell, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
-    hashes, pos, neg = (counts.column(n).to_numpy() for n in ("f", "pos", "neg"))
+    counts = held.select("_y", "_fits", "hashes").mapInArrow(tell, "f long, seen long, pos long, neg long").groupBy("f").agg(*[F.sum(n).alias(n) for n in ("seen", "pos", "neg")]).toArrow()
+    hashes, seen, pos, neg = (counts.column(n).to_numpy() for n in ("f", "seen", "pos", "neg"))
     order = np.argsort(hashes)
-    hashes, pos, neg = hashes[order], pos[order], neg[order]
-    tally = {(r[0], r[1]): r[2] for r in held.groupBy(F.col("_y") > 0, F.length("hashes") > 0).agg(F.count(F.lit(1))).collect()}
-    all_pos, all_neg = (sum(n for (y, _), n in tally.items() if y is kind) for kind in (True, False))
-    none, total = (tally.get((True, False), 0), tally.get((False, False), 0)), all_pos + all_neg
-    weight = np.log((1 + total) / (1 + pos + neg)) + 1
-    if all_pos and all_neg:
-        weight *= 1 + np.maximum(gain(pos, neg, all_pos, all_neg) - votes.chance, 0)
-    base = all_pos / max(1, total)
-    model = Model(hashes, weight, base, (none[0] + base) / (sum(none) + 1) if total > 1 else 0.0)
+    hashes, seen, pos, neg = hashes[order], seen[order], pos[order], neg[order]
+    tally = [(bool(y), bool(fits), bool(some), n) for y, fits, some, n in held.groupBy(F.col("_y") > 0, "_fits", F.length("hashes") > 0).agg(F.count(F.lit(1))).collect()]
+    many = lambda test: sum(t[3] for t in tally if test(*t[:3]))
+    total, positive = many(lambda y, fits, some: True), many(lambda y, fits, some: y)
+    fit_pos, fit_neg = many(lambda y, fits, some: y and fits), many(lambda y, fits, some: fits and not y)
+    none, none_pos = many(lambda y, fits, some: not some), many(lambda y, fits, some: y and not some)
+    weight = np.log((1 + total) / (1 + seen)) + 1
+    if fit_pos and fit_neg:
+        weight *= 1 + np.maximum(gain(pos, neg, fit_pos, fit_neg) - votes.chance, 0)
+    base = positive / max(1, total)
+    model = Model(hashes, weight, base, (none_pos + base) / (none + 1) if total > 1 else 0.0)
     steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     if not len(hashes):
         return spark.sparkContext.broadcast(model), steps
     held = held.where("length(hashes) > 0")
-    del counts, order, pos, neg
+    del counts, order, seen, pos, neg
     # The labelled rows, bounded, some at a time.
     ids, kinds, terms, often, lengths, sizes = [], [], [], [], [], []
     for part in range(PARTS):
@@ -321,7 +319,10 @@ def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
             raw = [r for r, _ in own.votes(queries, votes.k, but=batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(1)], ["raw", "_y"])
 
-    raw = held.select("doc_id", "_y", "hashes", "counts").mapInArrow(judge, "raw double, _y int").toArrow()
+    apart = held.where("NOT _fits")
+    if len({y for y, fits, some, _ in tally if some and not fits}) < 2:
+        apart = held  # too few examples: all of them calibrate
+    raw = apart.select("doc_id", "_y", "hashes", "counts").mapInArrow(judge, "raw double, _y int").toArrow()
     return shared, isotonic(raw.column(0).to_numpy(), (raw.column(1).to_numpy() > 0).astype(float))
 
 
@@ -330,17 +331,19 @@ def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     Null and empty texts, and texts that share no word with any example, get
     the rate of label 1 among labelled texts without words (with one more of the
-    rate of all), with no evidence.
-    Repeated rows each give a row.
+    rate of all), with no evidence. Whole texts are read, however long. Equal
+    cosines go to the smaller id. Repeated rows and rows with a null id each
+    give a row; other columns of the input, whatever their names, are not read.
+    An empty table gives an empty one.
     """
     votes = votes or Votes()
     shared, steps = learn(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, votes=votes)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, {}
+        own = shared.value
         for batch in batches(stream, 128):
-            got = own.scores([count_terms(t, memo) for t in batch.column(1).to_pylist()], votes.k, steps)
+            got = own.scores([count_terms(t) for t in batch.column(1).to_pylist()], votes.k, steps)
             near = [[{"doc_id": i, "cosine": s, "label": y} for i, s, y in n] for _, n in got]
             scores = [s for s, _ in got]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= votes.threshold) for s in scores], pa.int32()), pa.array(near, kind)], ["doc_id", "score", "predicted", "evidence"])

@@ -249,15 +249,15 @@ def test_toxicity_index_is_exact_and_learns(spark):
 
 
 def test_toxicity_searches_all_words(spark):
-    from millrace.llm.toxicity import STEMS, toxicity
+    from millrace.llm.toxicity import toxicity
 
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)]
     rows = [(i, " ".join(rng.choice(words, 12)), int(i % 7 == 0)) for i in range(120)]
     df = spark.createDataFrame([r[:2] for r in rows] + [(500, " ".join(words[:3])), (501, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).collect()}
-    # No word is telling here, so the plain TF-IDF of every word and beginning is what must be searched.
-    tf = {i: Counter(f for w in t.split() for f in (w, *("^" + w[:n] for n in STEMS))) for i, t, _ in [*rows, (500, " ".join(words[:3]), 0)]}
+    # No word is telling here, so the plain TF-IDF of every word is what must be searched.
+    tf = {i: Counter(t.split()) for i, t, _ in [*rows, (500, " ".join(words[:3]), 0)]}
     seen = Counter(f for i, _, _ in rows for f in tf[i])
 
     def vector(i):
@@ -272,6 +272,20 @@ def test_toxicity_searches_all_words(spark):
     assert got[501].evidence == []
 
 
+def test_toxicity_of_odd_tables(spark):
+    from millrace.llm.toxicity import toxicity
+
+    rows = [(i, "vile rotten filth" if i % 3 == 0 else "sun tree river") for i in range(60)] + [(None, "vile rotten"), (7, "sun tree"), (7, "sun tree"), (70, None), (71, "sun " * 200_000), (72, "!!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "_y", "_h", "_fits", "hashes")})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(3, 0), (None, 1), (8, None)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    got = toxicity(df, labels).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[None].predicted == 1 and by[3].predicted == 1 and by[7].predicted == 0 and by[71].predicted == 0
+    assert by[70].evidence == by[72].evidence == [] and by[70].score == by[72].score
+    assert toxicity(df.limit(0), labels).count() == 0
+
+
 def _quality(text):
     text = text or ""
     words, n = re.findall(r"[^\x20\x09-\x0D]+", text), 0
