@@ -299,13 +299,60 @@ def _quality(text):
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), n, len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)
 
 
+def _kept(rows, bands):
+    """doc -> verdict, by brute force."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=bands.level)
+    share = lambda raw: len(packer.compress(raw)) / len(raw)
+    size = lambda n: int(np.floor(2 * np.log2(n)))
+    passed = {}
+    for _, t in rows:
+        raw = (t or "").encode()
+        if not _quality(t)[5]:
+            passed.setdefault(size(len(raw)), []).append(round(1000 * share(raw) + 1e-9))
+    limits = {}
+    for b, steps in passed.items():
+        if len(steps) >= bands.least_rows:
+            q1, q2, q3 = (sorted(steps)[int(np.ceil(p * len(steps))) - 1] / 1000 for p in (0.25, 0.5, 0.75))
+            limits[b] = (q2 - bands.width * (q3 - q1), q2 + bands.width * (q3 - q1))
+
+    def within(raw):
+        wide = next((low, high) for below, low, high in bands.whole if len(raw) < below)
+        return all(low <= share(raw) <= high for low, high in (wide, limits.get(size(len(raw)), wide)))
+
+    out = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        starts = [a for a in range(0, len(raw), bands.chunk_bytes) if a == 0 or len(raw) - a >= bands.least_chunk]
+        bad = sum(b - a for a, b in zip(starts, [*starts[1:], len(raw)], strict=True) if not within(raw[a:b])) if raw else 0
+        out.append((str(d), bool(raw) and not _quality(t)[5] and within(raw) and bad <= bands.bad_share * len(raw)))
+    return sorted(out)
+
+
 def test_quality_counts_and_bands(spark, docs, rows, empty):
-    from millrace.llm.quality import compression_bands
+    from millrace.llm.quality import Bands, compression_bands
 
     got = compression_bands(docs).collect()
     assert sorted((str(r.doc_id), *r[1:7]) for r in got) == sorted((str(d), *_quality(t)) for d, t in rows)
-    assert all(not r.kept for r in got if r.base_failed)
     assert compression_bands(empty).count() == 0
+    few = Bands(least_rows=8)
+    assert sorted((str(r.doc_id), r.kept) for r in compression_bands(docs, bands=few).collect()) == _kept(rows, few)
+
+
+def test_quality_rejects_repetition_and_noise(spark):
+    from millrace.llm.quality import compression_bands
+
+    rng = random.Random(8)
+    syllables = ["the", "an", "ver", "so", "li", "mo", "ta", "res", "in", "ka", "ou", "pel", "di", "un", "gro", "fe"]
+    prose = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(9)) for _ in range(420))
+    counted = " ".join(f"item{i}" for i in range(600))
+    rows = [(i, prose(rng.randint(600, 640))) for i in range(300)] + [(900, noise), (901, counted), (902, prose(500) + "\n" + counted), (903, prose(2000))]
+    got = {r.doc_id: r for r in compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i].base_failed for i, _ in rows)
+    assert [got[i].kept for i in (900, 901, 902, 903)] == [False, False, False, True]
+    assert all(got[i].kept for i in range(300))
 
 
 def test_licences(spark):
