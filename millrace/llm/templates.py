@@ -2,9 +2,11 @@
 
 A line is parsed down a tree of fixed depth: by its number of tokens, then by
 its leading tokens, where a token with a digit counts as a variable field.
-In a leaf, the tokens that many lines have at a position are the template's
-constants and the rest are generalised to variable fields. A template that
-recurs across documents is dropped from all but the first of them.
+In a leaf, the tokens that the lines of many documents have at a position are
+the template's constants and the rest are generalised to variable fields. Long
+lines, which recur from two documents on, are also one template if they differ
+within one of four runs of tokens only. A template that recurs across
+documents is dropped from all but the first of them.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.util import batches, checkpoint, let, texts
+from millrace.llm.util import batches, checkpoint, join_hot, let, texts
 
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]").search
@@ -30,18 +32,23 @@ class Tree:
     """depth: leading tokens that lead to a leaf. long_tokens: from so many tokens on a line is long.
     docs_short, docs_long: documents in which a short or long template recurs. A short line is
     repeated by chance soon; a long one is not. constant: least share of constants in a
-    template, for a line that is generalised beyond its digits."""
+    template, for a line that is generalised beyond its digits. runs: into so many runs a
+    long line's tokens behind the leading ones are cut, of which one may vary."""
 
     depth: int = 3
     long_tokens: int = 20
     docs_short: int = 10
     docs_long: int = 2
     constant: float = 0.6
+    runs: int = 4
 
 
 LINES = "key long, doc_id long, pos int, n int, leaf long, template long"
-#: Bits of the filter that keeps lines of other templates from being read as tokens: 8 MB, whatever the input.
-BITS = 1 << 26
+#: Bits to a template, and most bits, of the filter that keeps other lines from being read as tokens: 64 MB at most.
+#: Beyond 500 million templates it lets more and more other lines pass, which are then left out by a join.
+BITS_EACH, MOST_BITS = 16, 1 << 29
+#: Templates that a task remembers to have sent.
+SENT = 200_000
 
 
 def parse(line: bytes) -> list[bytes]:
@@ -75,57 +82,85 @@ def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """template, tokens of lines whose template is in ``wanted`` or shares its bit of the filter."""
-    slot = F.pmod("template", F.lit(BITS))
-    words = wanted.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")).collect()
-    bits = np.zeros(BITS // 64, np.uint64)
-    for w, b in words:
-        bits[w] = b % (1 << 64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """template, tokens of lines whose template is in ``wanted`` or shares its bit of the filter; a few times each."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS_EACH * wanted.count()).bit_length()))
+    slot = F.pmod("template", F.lit(bits))
+    words = wanted.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")).toArrow()
+    filled = np.zeros(bits // 64, np.int64)
+    filled[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
+        filled, sent = shared.value, set()
         for batch in batches(stream, 256):
             hashes, found = [], []
             for text in batch.column(0).to_pylist():
                 for line in text.encode().split(b"\n"):
                     if tokens := parse(line):
                         h = xxh64_intdigest(b" ".join(tokens))
-                        s = (h - (1 << 64) if h >> 63 else h) % BITS
-                        if int(filled[s >> 6]) >> (s & 63) & 1:
+                        s = (h - (1 << 64) if h >> 63 else h) % bits
+                        if int(filled[s >> 6]) >> (s & 63) & 1 and h not in sent:
+                            sent.add(h)
                             hashes.append(h)
                             found.append([t.decode() for t in tokens])
+            if len(sent) > SENT:
+                sent.clear()
             yield pa.RecordBatch.from_arrays([_hashes(hashes), pa.array(found, pa.list_(pa.string()))], ["template", "tokens"])
 
     return docs.select("text").mapInArrow(run, "template long, tokens array<string>")
 
 
-def _docs(lines: DataFrame, by: str) -> DataFrame:
-    """Documents that hold each value of ``by``, and the least id of them; a document counts once."""
-    once = lines.groupBy(by, "key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    return once.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.min("n").alias("n"))
+def _docs(lines: DataFrame, by: str, *more: str) -> DataFrame:
+    """Of each value of ``by``: documents that hold it, the least id of them, rows, tokens; a document counts once."""
+    once = lines.groupBy(by, "key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in more])
+    return once.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.sum("rows").alias("rows"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in more])
 
 
 def recurring(docs: DataFrame, lines: DataFrame, tree: Tree) -> DataFrame:
-    """Templates that recur: template (of a line), first (id of the document that keeps it)."""
+    """Templates that recur: template (of a line), rows (lines that have it), first (id of a document that keeps it)."""
     least = F.when(F.col("n") >= tree.long_tokens, tree.docs_long).otherwise(tree.docs_short)
-    exact = checkpoint(_docs(lines, "template").where(F.col("docs") >= least).select("template", "first"))
-    # Variable fields: only leaves that many documents reach can hold such a template.
-    kinds = lines.groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("c"))
-    leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where(f"kinds >= {min(tree.docs_short, tree.docs_long + 1)}").select("leaf")
-    rest = checkpoint(kinds.join(leaves, "leaf", "left_semi").join(exact, "template", "left_anti").select("template", "leaf", "n"))
-    if rest.isEmpty():
+    kinds = checkpoint(_docs(lines, "template", "leaf"))
+    exact = kinds.where(F.col("docs") >= least).select("template", "rows", "first")
+    # Variable fields: only a leaf with two kinds of lines and documents enough can hold such a template.
+    leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("docs").alias("_docs"), F.min("n").alias("n")).where((F.col("_kinds") > 1) & (F.col("_docs") >= least))
+    n_kinds = kinds.count()
+    some = checkpoint(join_hot(kinds, leaves.select("leaf", "_kinds"), "leaf", rows="_kinds", total=n_kinds))
+    if some.isEmpty():
         return exact
-    read = _tokens(docs, rest).groupBy("template").agg(F.first("tokens").alias("tokens"))
-    wide = checkpoint(rest.join(read, "template").select("leaf", "template", F.posexplode("tokens").alias("at", "token")))
-    fixed = F.col("token") != FIELD.decode()
-    common = wide.where(fixed).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("_c")).where(f"_c >= {tree.docs_short}").select("leaf", "at", "token")
-    kept = wide.join(common, ["leaf", "at", "token"])
-    forms = kept.groupBy("template", "leaf").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("at", "token")).alias("x1"), F.bit_xor(F.xxhash64("token", "at")).alias("x2"))
-    forms = forms.select("template", "constants", F.xxhash64("leaf", "x1", "x2").alias("form"))
-    members = lines.join(forms, "template").where(F.col("constants") >= tree.constant * F.col("n"))
-    groups = _docs(members, "form").where((F.col("docs") >= least) & (F.col("docs") >= tree.docs_short)).select("form", "first")
-    return exact.union(forms.join(groups, "form").select("template", "first"))
+    read = _tokens(docs, some).groupBy("template").agg(F.first("tokens").alias("tokens"))
+    known = checkpoint(some.join(read, "template").select("template", "leaf", "docs", "rows", "n", "tokens"))
+    forms = checkpoint(_voted(known, tree).unionByName(_cut(known, tree)))
+    # Documents of the members of a form, added up, are no fewer than the form's.
+    likely = forms.groupBy("form").agg(F.sum("docs").alias("_docs"), F.count(F.lit(1)).alias("_kinds"), F.min("least").alias("least")).where("_docs >= least")
+    n_forms = forms.count()
+    forms = checkpoint(join_hot(forms.drop("least"), likely.select("form", "_kinds", "least"), "form", rows="_kinds", total=n_forms))
+    members = join_hot(lines.select("template", "key", "doc_id", "n"), forms.select("template", "rows", "form"), "template", rows="rows", total=lines.count())
+    groups = _docs(members, "form").select("form", F.col("docs").alias("_docs"), "first")
+    sizes = forms.groupBy("form").agg(F.count(F.lit(1)).alias("_kinds"), F.min("least").alias("least"))
+    groups = groups.join(sizes, "form").where("_docs >= least").select("form", "first", "_kinds")
+    return exact.unionByName(join_hot(forms.select("form", "template", "rows"), groups, "form", rows="_kinds", total=n_forms).select("template", "rows", "first"))
+
+
+def _voted(known: DataFrame, tree: Tree) -> DataFrame:
+    """template, docs, rows, form, least: lines with the same constants, each in ``docs_short`` documents of the leaf or more."""
+    wide = checkpoint(known.select("leaf", "template", "docs", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD.decode()).select("template", "docs", F.xxhash64("leaf", "at", "token").alias("place")))
+    places = wide.groupBy("place").agg(F.sum("docs").alias("_d"), F.count(F.lit(1)).alias("_rows")).where(f"_d >= {tree.docs_short}").select("place", "_rows")
+    kept = join_hot(wide.select("template", "place"), places, "place", rows="_rows", total=wide.count())
+    forms = kept.groupBy("template").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor("place").alias("x1"), F.bit_xor(F.xxhash64("place")).alias("x2"))
+    made = known.select("template", "leaf", "docs", "rows", "n").join(forms, "template").where(F.col("constants") >= tree.constant * F.col("n"))
+    return made.select("template", "docs", "rows", F.xxhash64("leaf", "x1", "x2").alias("form"), F.lit(tree.docs_short).alias("least"))
+
+
+def _cut(known: DataFrame, tree: Tree) -> DataFrame:
+    """The same for long lines: those that are equal but for one run of tokens."""
+    behind = F.col("n") - tree.depth
+
+    def without(j: int) -> Column:
+        a, b = ((tree.depth + F.floor(behind * x / tree.runs)).cast("int") for x in (j, j + 1))
+        return F.xxhash64("leaf", F.lit(j), F.slice("tokens", 1, a), F.slice("tokens", b + 1, F.col("n") - b))
+
+    long = known.where(F.col("n") >= tree.long_tokens)
+    return long.select("template", "docs", "rows", F.explode(F.array(*map(without, range(tree.runs)))).alias("form"), F.lit(tree.docs_long).alias("least"))
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -146,18 +181,24 @@ def drop_templates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nothing is lost to the corpus; a line that recurs only within a document
     stays. Rows that share the least id all keep it. Blank lines are never dropped. Null texts stay null, with no lines;
     an empty text has one. Rows that repeat both id and text are one document.
-    A null id sorts first. Input columns named n_lines or n_dropped are replaced.
+    A null id sorts first. Whole texts are parsed, however long. Input columns
+    named n_lines or n_dropped are replaced; others stay, whatever their names.
+    A template that is generalised in several ways stays where the least of
+    their ids says. Variable fields among the ``depth`` leading tokens are
+    found by their digits only. An empty table gives an empty one.
     """
     tree = tree or Tree()
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     docs = texts(df, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
     lines = checkpoint(_lines(docs, tree))
-    found = checkpoint(recurring(docs, lines, tree).groupBy("template").agg(F.min("first").alias("first")))
-    hit = lines.join(found, "template").where(F.col("doc_id") != F.col("first"))
+    found = checkpoint(recurring(docs, lines, tree).groupBy("template").agg(F.min("first").alias("first"), F.min("rows").alias("rows")))
+    hit = join_hot(lines.select("template", "key", "doc_id", "pos"), found, "template", rows="rows", total=lines.count()).where(F.col("doc_id") != F.col("first"))
     drops = hit.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
-    joined = df.select(*names, key.alias("_own")).join(drops, F.col("_own") == F.col("_key"), "left")
-    left = let(F.split(text_col, "\n"), lambda x: F.array_join(_without(x, F.col("_drop")), "\n"))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    # The input's columns travel as one, so that none can clash with those of the join.
+    joined = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_own")).join(drops, F.col("_own") == F.col("_key"), "left")
+    own = F.col("_row").getField(text_col)
+    left = let(F.split(own, "\n"), lambda x: F.array_join(_without(x, F.col("_drop")), "\n"))
+    text = F.when(F.col("_drop").isNull(), own).otherwise(left)
+    n_lines = F.when(own.isNull(), 0).otherwise(F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1)
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in names], n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set, as in tests on one machine, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, which all machines share and whose owner clears it.
+
+    Where none is set, a temporary folder on one machine (master ``local``); an error on a cluster.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
     return context.getCheckpointDir()
 
 
@@ -55,3 +62,21 @@ def batches(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+#: By so many parts is a table divided to tell which keys are hot, so no more keys than this can be.
+PARTS = 4096
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, *, rows: str, total: int) -> DataFrame:
+    """The inner join of ``left`` with ``right`` on ``key``, whatever share of ``left`` one key has.
+
+    Column ``rows`` of ``right`` says how many rows of ``left`` (``total`` in all) have the key. A
+    key of one part in PARTS of them or more is hot. At most PARTS keys can be, so their rows of
+    ``right`` (a bounded number to each key) are small enough to send to every task; all other keys
+    are too rare to fill a task.
+    """
+    least = max(1, total // PARTS)
+    hot, rest = right.where(F.col(rows) >= least).drop(rows), right.where(F.col(rows) < least).drop(rows)
+    known = F.broadcast(hot.select(key).distinct())
+    return left.join(F.broadcast(hot), key).unionByName(left.join(known, key, "left_anti").join(rest, key))

@@ -223,6 +223,75 @@ def test_line_templates(spark):
     assert drop_templates(df, tree=Tree(docs_short=1000, docs_long=1000)).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_line_templates_count_documents(spark):
+    from millrace.llm.templates import drop_templates
+
+    def dropped(lines):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("key", "template", "rows", "first", "n", "_drop")})
+        got = drop_templates(df)
+        assert got.columns[:2] == ["doc_id", "text"]
+        return {r.doc_id for r in got.where("n_dropped > 0").collect()}
+
+    named = lambda names, each: [f"posted in the public garden by {'abcdefghijk'[i % names] * 3} today" for i in range(names * each)]
+    assert dropped(named(9, 9)) == set(range(1, 81))
+    assert len(dropped(named(5, 6))) == 29
+    assert dropped(named(3, 3)) == set()
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    one = [" ".join([*words[:p], "other", *words[p + 1 :]]) for p in (10, 40)]
+    assert dropped([" ".join(words), *one]) == {1, 2}
+    assert dropped([one[0], " ".join([*words[:8], "two", *words[9:]])]) == {1}
+    assert dropped([" ".join(words), " ".join([*words[:20], *reversed(words[20:])])]) == set()
+    assert dropped(["y " * 300_000, "y " * 300_000]) == {1}
+    tie = spark.createDataFrame([(4, " ".join(words)), (4, " ".join(words) + " more"), (5, " ".join(words))], "doc_id long, text string")
+    assert {(r.doc_id, r.n_dropped) for r in drop_templates(tie).collect()} == {(4, 0), (5, 1)}
+
+
+def test_line_templates_against_brute_force(spark):
+    from millrace.llm.templates import FIELD, Tree, drop_templates, parse
+
+    rng, tree = random.Random(9), Tree(long_tokens=8, docs_short=4, docs_long=2)
+    pool = [" ".join(rng.choice("abcd") + rng.choice("xyz") for _ in range(n)) for n in (4, 4, 5, 6, 9, 9, 10) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for x in rng.choices(pool, k=rng.randint(1, 4)):
+            t = x.split()
+            if rng.random() < 0.5:
+                t[rng.randrange(3, len(t))] = rng.choice(["one", "two", "three", "5", "66"])
+            lines.append(" ".join(t))
+        rows.append((i, "\n".join(lines)))
+    docs = {}
+    for i, text in rows:
+        for x in text.split("\n"):
+            docs.setdefault(tuple(parse(x.encode())), set()).add(i)
+    leaf = lambda t: (len(t), t[: tree.depth])
+    least = lambda t: tree.docs_long if len(t) >= tree.long_tokens else tree.docs_short
+    at = Counter()
+    for t, d in docs.items():
+        for p, x in enumerate(t):
+            if x != FIELD:
+                at[leaf(t), p, x] += len(d)
+    groups = {}
+    for t, d in docs.items():
+        groups.setdefault((t, least(t)), []).append(t)
+        fixed = tuple((p, x) for p, x in enumerate(t) if x != FIELD and at[leaf(t), p, x] >= tree.docs_short)
+        if len(fixed) >= tree.constant * len(t):
+            groups.setdefault((leaf(t), fixed, tree.docs_short), []).append(t)
+        if len(t) >= tree.long_tokens:
+            for j in range(tree.runs):
+                a, b = (tree.depth + (len(t) - tree.depth) * x // tree.runs for x in (j, j + 1))
+                groups.setdefault((leaf(t), j, t[:a], t[b:], tree.docs_long), []).append(t)
+    first = {}
+    for g, members in groups.items():
+        ids = set().union(*(docs[t] for t in members))
+        if len(ids) >= g[-1]:
+            for t in members:
+                first[t] = min(first.get(t, min(ids)), min(ids))
+    want = {i: "\n".join(x for x in text.split("\n") if first.get(tuple(parse(x.encode())), i) == i) for i, text in rows}
+    got = {r.doc_id: r.text for r in drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), tree=tree).collect()}
+    assert got == want and any(want[i] != text for i, text in rows)
+
+
 def test_toxicity_index_is_exact_and_learns(spark):
     from millrace.llm.toxicity import Index, toxicity
 
