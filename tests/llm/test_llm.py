@@ -116,15 +116,57 @@ def test_cover_tree_is_exact(spark):
 
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(150)]
-    bad = [(2000, None), (2001, [float("nan")] * 8), (2002, [1.0, None, *[0.0] * 6]), (2003, [float("inf")] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>")
+    vectors.append((3000, [0.1, 0.2]))
+    bad = [(2000, None), (2001, [float("nan")] * 8), (2002, [1.0, None, *[0.0] * 6]), (2003, [float("inf")] * 8), (None, [1.0] * 8), (100, vectors[100][1])]
+    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("id", "v", "block", "cell", "query_id", "score")})
     got = top_k(df, df.where("vec_id % 50 = 0"), block=64, group=4, pivots=6).collect()
-    q = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors}
+    q = {i: np.floor(256 * np.array([*v, *[0.0] * (8 - len(v))], np.float32).astype(float)).astype(int) for i, v in vectors}
     want = {(i, n + 1, j, s) for i in q if i % 50 == 0 for n, (s, j) in enumerate((-s, j) for s, j in sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5])}
     assert {tuple(r) for r in got} == want
     assert top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def _clusters(n, width, seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(20, width)) * 400
+    return np.floor(centers[rng.integers(0, 20, n)] + rng.normal(size=(n, width)) * 12)
+
+
+@pytest.mark.parametrize("rows", [_clusters(1500, 16, 1), np.floor(np.random.default_rng(2).normal(size=(700, 64)) * 50), np.ones((90, 3)), np.zeros((1, 4))])
+def test_cover_tree_covers_nests_and_separates(rows):
+    from millrace.llm.covertree import BASE, LEAF, CoverTree
+
+    t = CoverTree(rows, np.arange(len(rows)))
+    assert sorted(t.ids.tolist()) == list(range(len(rows))) and np.array_equal(t.rows, rows[t.ids])
+    for i in range(len(t.at)):
+        own = t.rows[t.start[i] : t.end[i]]
+        far = np.sqrt(((own - t.center[i]) ** 2).sum(axis=1))
+        assert t.start[i] <= t.at[i] < t.end[i] and far.max() <= t.radius[i] + 1e-6
+        kids = t.kids[i]
+        if not kids:
+            assert len(own) <= LEAF or t.radius[i] == 0
+            continue
+        assert far.max() <= BASE ** t.level[i] + 1e-6 and t.at[kids[0]] == t.at[i]  # covered by its level; nested
+        assert [(t.start[a], t.end[a]) for a in kids] == list(zip([t.start[i], *[t.end[a] for a in kids[:-1]]], [t.end[a] for a in kids], strict=True))
+        apart = np.sqrt(((t.center[kids][:, None] - t.center[kids][None]) ** 2).sum(axis=2))
+        assert apart[~np.eye(len(kids), dtype=bool)].min(initial=np.inf) > BASE ** (t.level[i] - 1) - 1e-6
+        assert all(t.radius[a] <= BASE ** (t.level[i] - 1) + 1e-6 for a in kids)
+
+
+@pytest.mark.parametrize(("rows", "most"), [(_clusters(4000, 16, 3), 0.5), (np.floor(np.random.default_rng(4).normal(size=(800, 64)) * 50), 1.0)])
+def test_dual_tree_search_is_exact_and_prunes(rows, most):
+    from millrace.llm.covertree import CoverTree, Search
+
+    n = len(rows) // 10
+    found = Search(CoverTree(rows[:n], np.arange(n)), CoverTree(rows, np.arange(len(rows))), 5)
+    got = {}
+    for q, i, s in found.found():
+        got.setdefault(q, []).append((-s, i))
+    scores = (rows[:n] @ rows.T).astype(int)
+    assert all(got[q] == sorted((-int(s), i) for i, s in enumerate(scores[q]))[:5] for q in range(n))
+    assert found.products <= most * n * len(rows)
+
+
 def _fp(text, k=3):
     import xxhash
 
