@@ -52,7 +52,10 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp (long) of each row; null and empty texts have fingerprint zero."""
+    """doc_id and fp (long) of each row; null and empty texts have fingerprint zero.
+
+    Whole texts are read, however long; repeated rows each give a row, an empty table none.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -166,18 +169,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     in ``near`` bits or fewer. Null and empty texts have fingerprint zero and
     are linked like any other. Rows with a null doc_id take part; they never
     name a component, which is null if it has no other rows. Repeated rows
-    each give a row.
+    each give a row. Other columns, whatever their names, are not read. An
+    empty table gives an empty one.
     """
     docs = checkpoint(fingerprints(df, id_col=id_col, text_col=text_col, words=words))
-    distinct = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    distinct = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("first")).repartition(4 * cores))  # each has 64 variants
     roots = components(links(distinct.select("fp"), near, tile)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the documents that have a near-duplicate of smaller id."""
-    gone = near_duplicates(df, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.util import batches, checkpoint, join_hot, let, texts
+from millrace.llm.util import batches, checkpoint, hash_filter, join_hot, let, texts
 
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]").search
@@ -44,9 +44,6 @@ class Tree:
 
 
 LINES = "key long, doc_id long, pos int, n int, leaf long, template long"
-#: Bits to a template, and most bits, of the filter that keeps other lines from being read as tokens: 64 MB at most.
-#: Beyond 500 million templates it lets more and more other lines pass, which are then left out by a join.
-BITS_EACH, MOST_BITS = 16, 1 << 29
 #: Templates that a task remembers to have sent.
 SENT = 200_000
 
@@ -83,29 +80,21 @@ def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
 
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """template, tokens of lines whose template is in ``wanted`` or shares its bit of the filter; a few times each."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS_EACH * wanted.count()).bit_length()))
-    slot = F.pmod("template", F.lit(bits))
-    words = wanted.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")).toArrow()
-    filled = np.zeros(bits // 64, np.int64)
-    filled[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+    passes = hash_filter(wanted, "template")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, sent = shared.value, set()
+        sent: set[int] = set()
         for batch in batches(stream, 256):
-            hashes, found = [], []
-            for text in batch.column(0).to_pylist():
-                for line in text.encode().split(b"\n"):
-                    if tokens := parse(line):
-                        h = xxh64_intdigest(b" ".join(tokens))
-                        s = (h - (1 << 64) if h >> 63 else h) % bits
-                        if int(filled[s >> 6]) >> (s & 63) & 1 and h not in sent:
-                            sent.add(h)
-                            hashes.append(h)
-                            found.append([t.decode() for t in tokens])
+            lines = [t for text in batch.column(0).to_pylist() for line in text.encode().split(b"\n") if (t := parse(line))]
+            hashes = np.array([xxh64_intdigest(b" ".join(t)) for t in lines], np.uint64).view(np.int64)
+            found: dict[int, list[bytes]] = {}
+            for i in np.flatnonzero(passes(hashes)).tolist():
+                if (h := int(hashes[i])) not in sent:
+                    found[h] = lines[i]
+            sent.update(found)
             if len(sent) > SENT:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([_hashes(hashes), pa.array(found, pa.list_(pa.string()))], ["template", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([[t.decode() for t in x] for x in found.values()], pa.list_(pa.string()))], ["template", "tokens"])
 
     return docs.select("text").mapInArrow(run, "template long, tokens array<string>")
 

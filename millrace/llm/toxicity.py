@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from millrace.llm.util import batches, checkpoint, texts
@@ -326,8 +327,8 @@ def learn(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     return shared, isotonic(raw.column(0).to_numpy(), (raw.column(1).to_numpy() > 0).astype(float))
 
 
-def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", votes: Votes | None = None) -> DataFrame:
-    """doc_id, score, predicted, evidence (nearest examples: doc_id, cosine, label) of each row.
+def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", votes: Votes | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, predicted, evidence (nearest examples: doc_id, cosine, label) of each row, and the columns ``keep`` of the input.
 
     Null and empty texts, and texts that share no word with any example, get
     the rate of label 1 among labelled texts without words (with one more of the
@@ -346,6 +347,9 @@ def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
             got = own.scores([count_terms(t) for t in batch.column(1).to_pylist()], votes.k, steps)
             near = [[{"doc_id": i, "cosine": s, "label": y} for i, s, y in n] for _, n in got]
             scores = [s for s, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= votes.threshold) for s in scores], pa.int32()), pa.array(near, kind)], ["doc_id", "score", "predicted", "evidence"])
+            made = [pa.array(scores, pa.float64()), pa.array([int(s >= votes.threshold) for s in scores], pa.int32()), pa.array(near, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *made, *batch.columns[2:]], [f.name for f in schema.fields])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    given = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
+    schema = StructType([*StructType.fromDDL("doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>").fields, *[given.schema[c] for c in keep]])
+    return given.mapInArrow(run, schema)

@@ -211,6 +211,52 @@ def test_simhash_components(spark, docs, rows, tile):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got.collect()) == want
 
 
+def test_near_copies_against_brute_force(spark, docs, rows):
+    from millrace.llm.near_copies import keep_one
+
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (60, 120, 200, 400, 80) for _ in range(8)]
+    made = []
+    for b, words in enumerate(base):
+        for j in range(6):
+            w = list(words)
+            for _ in range(max(1, len(w) * rng.choice([1, 2, 3, 5, 9]) // 150)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            made.append((1000 * (j + 1) + b, " ".join(w)))
+    made += [(None, made[0][1] + " tail"), (7, "short text"), (8, "Short  text"), (9, None), (10, ""), (10, ""), (11, "a b c d e"), (11, "e d c b a")]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in made]
+    root = list(range(len(made)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n_pairs = 0
+    for i in range(len(made)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+                n_pairs += sets[i] != sets[j]
+    least = {}
+    for i, (d, t) in enumerate(made):
+        r = find(i)
+        least[r] = min(least.get(r, (True, 0)), (d is None, d or 0))
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("r1", "cid", "n", "sig", "kept", "_gone")})
+    got = keep_one(df).collect()
+    assert n_pairs > 50 and got[0].asDict().keys() == set(df.columns)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(None if none else d) for none, d in least.values())
+    assert keep_one(df.limit(0)).count() == 0
+    odd = keep_one(docs.select("doc_id", "text"))
+    assert odd.where("doc_id in (9005, 9006)").count() == 1 and odd.where("doc_id in (9001, 9002, 9003)").count() == 1
+
+
 def test_components_of_a_long_path(spark):
     from millrace.llm.components import components
 
@@ -477,6 +523,20 @@ def test_licences(spark):
     assert got[1].found[0].paragraph == 1 and got[4].n_paragraphs == 0
 
 
+def test_pipeline_decides_odd_rows(spark):
+    import corpus_pipeline
+
+    bad = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1"), "doc_id").orderBy("doc_id").first().text
+    rows = [(None, bad), (3_000_001, bad), (3_000_001, "a clean text of its own"), (None, "another clean text"), (3_000_002, None), (3_000_003, "")]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").union(odd).withColumn("score", F.lit(1))
+    left = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert left.where(F.col("text") == bad).count() == 0
+    assert left.where("doc_id is null or doc_id > 3000000").count() == 4
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     import corpus_pipeline
 
