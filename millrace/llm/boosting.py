@@ -72,9 +72,12 @@ def boost(x: np.ndarray, rows: np.ndarray, positive: np.ndarray, rounds: int = 2
 
 
 def threshold(margin: np.ndarray, rows: np.ndarray, positive: np.ndarray, precision: float) -> float:
-    """The least margin from which on so large a share is positive; infinite if there is none."""
+    """The least margin from which on so large a share is positive, midway to the next one below; infinite if there is none."""
     order = np.argsort(-margin, kind="stable")
     m, good, all_ = margin[order], np.cumsum(positive[order]), np.cumsum(rows[order])
     ends = np.append(m[1:] != m[:-1], True)
-    fits = ends & (good >= precision * all_)
-    return float(m[np.flatnonzero(fits)[-1]]) - 1e-9 if fits.any() else float("inf")
+    fits = np.flatnonzero(ends & (good >= precision * all_))
+    if not len(fits):
+        return float("inf")
+    last = int(fits[-1])
+    return float((m[last] + m[last + 1]) / 2 if last + 1 < len(m) else m[last] - 1)

@@ -293,6 +293,62 @@ def test_pii_base_spans_and_redaction(docs, rows, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_finds_what_no_rule_finds(spark):
+    from millrace.llm import pii
+
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "5" + digits(14)
+        return next(body + c for c in "0123456789" if _valid("card", body + c))
+
+    def cut(x, by):
+        return by.join(x[i : i + 4] for i in range(0, 16, 4))
+
+    name = lambda: "".join(rng.choice("abcdefgklmnorst") for _ in range(6))
+    hidden = [f"{name()}.{name()} at {name()} dot example dot org" for _ in range(15)] + [f"{name()} [at] {name()}.example.net" for _ in range(15)]
+    hidden += [f"({digits(3)}) 555-{digits(4)}" for _ in range(15)] + [f"{digits(3)}.{digits(3)}.{digits(4)}" for _ in range(15)]
+    hidden += [cut(card(), by) for by in "./_" for _ in range(8)]
+    hidden += ["[.]".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(15)]
+    hidden += ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(15)] + [f"api_key: {name()}{digits(9)}{name()}" for _ in range(10)]
+    clean = [f"order {digits(3)}-{digits(3)}-{digits(4)}" for _ in range(20)] + [f"it was at {name()}.Then they" for _ in range(20)] + [f"version {rng.randrange(300, 900)}.{rng.randrange(300, 900)}.1.2" for _ in range(20)]
+    clean += [f"commit {''.join(rng.choice('0123456789abcdef') for _ in range(40))}" for _ in range(20)] + [f"{digits(2)}.{digits(3)}.{digits(3)} people" for _ in range(20)] + ["12:30:45:10", "Licensed under CC BY-NC 4.0.", "the year 2024 and 1,000,000 more"]
+    clean += [next(x for x in (cut("5" + digits(15), ".") for _ in range(50)) if not _valid("card", x)) for _ in range(20)]
+    rows = [(i, f"some words before {x} and some behind") for i, x in enumerate(hidden)] + [(1000 + i, f"some words before {x} and some behind") for i, x in enumerate(clean)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[i].base for i, _ in enumerate(hidden))
+    hits, wrong = sum(bool(found[i].spans) for i, _ in enumerate(hidden)), sum(bool(found[1000 + i].spans) for i, _ in enumerate(clean))
+    assert hits >= 0.9 * len(hidden) and hits >= 0.95 * (hits + wrong), ([x for i, x in enumerate(hidden) if not found[i].spans], [x for i, x in enumerate(clean) if found[1000 + i].spans])
+
+
+def test_tree_sql_equals_apply(spark):
+    from millrace.llm.boosting import boost, threshold
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (400, 4))
+    y = ((x[:, 0] > 2) ^ (x[:, 1] == 1)).astype(float)
+    model = boost(x, np.ones(400), y, 20, 3)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in x], "a int, b int, c int, d int")
+    assert np.allclose([r[0] for r in df.selectExpr(model.sql(list("abcd"))).collect()], model.margin(x), atol=1e-6)
+    assert ((model.margin(x) > 0) == (y > 0)).mean() > 0.98
+    assert threshold(np.array([1.0, 2.0, 3.0]), np.ones(3), np.array([0.0, 1.0, 1.0]), 0.9) == pytest.approx(1.5)
+
+
+def test_pii_redacts_overlapping_and_adjacent_spans(spark):
+    from millrace.llm import pii
+
+    rows = [(1, "a@b.cc a@b.cc"), (2, "1.2.3.4@b.cc"), (3, "+1 (988) 555-2485+1 (988) 555-2485"), (4, None), (4, None), (None, "a@b.cc"), (5, "x " * 40_000 + "a@b.cc " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("s"), "base": F.lit("b")})
+    got = pii.redact(df, keep=("text", "spans", "doc_id"))
+    assert got.columns == ["text", "spans", "doc_id"]
+    out = {}
+    for r in got.collect():
+        out.setdefault(r.doc_id, []).append(r.text)
+    assert out[1] == ["[EMAIL] [EMAIL]"] and out[2] == ["[EMAIL]"] and out[3] == ["[PHONE][PHONE]"] and out[4] == ["", ""] and out[None] == ["[EMAIL]"]
+    assert out[5] == ["x " * 40_000 + "[EMAIL] " * 3000]
+
+
 def test_line_templates(spark):
     from millrace.llm.templates import Tree, drop_templates
 
