@@ -92,7 +92,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scanned = scan_licences(table(spark, sf_dir, "documents"))
     sure = F.filter("found", lambda x: x["confirmed"])
-    return scanned.select("doc_id", "n_paragraphs", F.size("found").alias("n_predicted"), F.size(sure).alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), "found")
+    return scanned.select("doc_id", "n_lines", F.size("found").alias("n_predicted"), F.size(sure).alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), "found")
 
 
 QUERIES: dict[str, Query] = {

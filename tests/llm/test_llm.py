@@ -568,15 +568,42 @@ def test_quality_rejects_repetition_and_noise(spark):
     assert all(got[i].kept for i in range(300))
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies of the Software",
+    "apache-2.0": "Licensed to the Foundation under one agreement. Licensed under the Apache License,\nVersion 2.0 (the \"License\"); you may not use this file except in compliance\nwith the License.",
+    "gpl-2.0": "Foo is free software; you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free\nSoftware Foundation; either version 2 of the License, or (at your\noption) any later version.",
+    "gpl-3.0": "Bar is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+    "agpl-3.0": "Baz is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "isc": "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation.\n3. Neither the name of the author nor the names of contributors may be used\nto endorse or promote products derived from this software.",
+    "cc-by-4.0": "This article is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "The text is licensed under CC BY-SA 4.0.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "proprietary": "Copyright 2019 Example Press. All rights reserved.",
+}
+
+
 def test_licences(spark):
-    from millrace.llm.licences import scan_licences
-
-    rows = [(1, "some prose\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the terms of the contest are free of charge"), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3.")]
-    rows += [(100 + i, f"invented words of no licence number {i} at all\nand another line of the text") for i in range(200)]
-    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sure = {d: [f.family for f in r.found if f.confirmed] for d, r in got.items()}
-    assert sure[1] == ["mit"] and sure[2] == ["apache-2.0"] and sure[6] == ["gpl-3.0"] and not any(sure[d] for d in sure if d not in (1, 2, 6))
-    assert got[1].found[0].paragraph == 1 and got[4].n_paragraphs == 0
+    from millrace.llm.licences import ANCHORS, MARKS, TEMPLATES, scan_licences
+
+    assert len(TEMPLATES) >= 20 and MARKS.keys() == TEMPLATES.keys()
+    assert all(any(a in t.lower()[:120] for a in ANCHORS) for ts in TEMPLATES.values() for t in ts)
+    prose = "invented words of no licence at all\nand another line of the text"
+    rows = [(i, f"{prose}\n{t}\n{prose}") for i, t in enumerate(NOTICES.values())]
+    none = ["the terms of the contest are free of charge", "the license of the old driver was copied", "all rights and wrongs were reserved for later", "This work is licensed under the GNU General Public License.", "licensed under the terms of some other agreement, version 3", None, "", "Redistribution and use of the land was permitted"]
+    rows += [(100 + i, t) for i, t in enumerate(none)] + [(200 + i, prose) for i in range(100)] + [(None, "Released under the MIT License."), (300, "Released under the MIT License."), (300, "Released under the MIT License."), (301, "word " * 300_000 + "\nReleased under the MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("low", "found", "h")})
+    got = {}
+    for r in scan_licences(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    sure = {d: [f.family for f in rs[0].found if f.confirmed] for d, rs in got.items()}
+    assert {i: sure[i] for i in range(len(NOTICES))} == {i: [n] for i, n in enumerate(NOTICES)}
+    assert not any(v for d, v in sure.items() if d is not None and 100 <= d < 300)
+    assert sure[None] == sure[300] == sure[301] == ["mit"] and len(got[300]) == 2 and got[105][0].n_lines == 0
+    assert got[0][0].found[0].line == 2 and scan_licences(df.limit(0)).count() == 0
 
 
 def test_pipeline_decides_odd_rows(spark):
