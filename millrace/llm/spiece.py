@@ -3,7 +3,11 @@
 The model protobuf is parsed and its normaliser, metaspace marker, scores
 (or merges) and byte fallback are rebuilt as a ``tokenizers.Tokenizer``.
 Batches are encoded multithreaded, and every encoded chunk is held against
-the sentencepiece library itself.
+the sentencepiece library itself; a rebuilt decoder turns ids into text.
+
+Unigram scores are summed in double precision here and in single precision by
+the library, so in long texts it may take another of two segmentations whose
+scores differ by less than single precision tells; parity is false then.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
@@ -46,9 +51,29 @@ def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+def normaliser(rule, *, prefix: bool = True):  # noqa: ANN001, ANN201
+    """The model's normaliser, with or without the marker that it puts before a text."""
+    from tokenizers import Regex, normalizers
+
+    steps = []
+    if rule.precompiled_charsmap:
+        steps.append(normalizers.Precompiled(rule.precompiled_charsmap))
+    if rule.remove_extra_whitespaces:
+        steps += [normalizers.Replace(Regex(x), by) for x, by in (("\\A +", ""), (" {2,}", " "), (f"[ {MARK}]+\\z", ""))]
+    if rule.add_dummy_prefix and prefix:
+        steps.append(normalizers.Prepend(MARK))
+    steps.append(normalizers.Replace(" ", MARK))
+    return normalizers.Sequence(steps)
+
+
 def rebuild(path: str):  # noqa: ANN201
-    """A ``tokenizers.Tokenizer`` that encodes and decodes as the sentencepiece model does."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+    """A ``tokenizers.Tokenizer`` that encodes and decodes as the sentencepiece model does.
+
+    In a unigram model only normal and user pieces may match a text. The
+    others get a blank behind their names, which no normalised text holds, so
+    that text such as ``<s>`` stays text; ``ids_of`` writes their bytes.
+    """
+    from tokenizers import AddedToken, Tokenizer, decoders, models
 
     proto = parse(path)
     trainer, rule = proto.trainer_spec, proto.normalizer_spec
@@ -58,19 +83,11 @@ def rebuild(path: str):  # noqa: ANN201
         scores = {p.piece: p.score for p in proto.pieces if p.type in (NORMAL, USER)}
         model = models.BPE(vocab, merges(scores), unk_token=unk, fuse_unk=True, byte_fallback=trainer.byte_fallback)
     elif trainer.model_type == UNIGRAM:
-        model = models.Unigram([(p.piece, p.score) for p in proto.pieces], vocab[unk], byte_fallback=trainer.byte_fallback)
+        model = models.Unigram([(p.piece, p.score) if p.type in (NORMAL, USER) else (p.piece + " ", 0.0) for p in proto.pieces], vocab[unk], byte_fallback=False)
     else:
         raise ValueError(f"model type {trainer.model_type} is neither unigram nor BPE")
-    steps = []
-    if rule.precompiled_charsmap:
-        steps.append(normalizers.Precompiled(rule.precompiled_charsmap))
-    if rule.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    if rule.add_dummy_prefix:
-        steps.append(normalizers.Prepend(MARK))
-    steps.append(normalizers.Replace(" ", MARK))
     made = Tokenizer(model)
-    made.normalizer = normalizers.Sequence(steps)
+    made.normalizer = normaliser(rule)
     parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     made.decoder = decoders.Sequence(parts + [decoders.Strip(" ", 1, 0)] * bool(rule.add_dummy_prefix))
     if own := [AddedToken(p.piece, normalized=True) for p in proto.pieces if p.type == USER]:
@@ -79,24 +96,51 @@ def rebuild(path: str):  # noqa: ANN201
 
 
 class Decoder:
-    """Texts from ids by a table of the pieces' bytes; needs neither of the two libraries."""
+    """Texts from ids by the rebuilt decoder, each word's run of ids decoded once per worker.
 
-    def __init__(self, path: str):
-        proto = parse(path)
-        self.table = [self._bytes(p) for p in proto.pieces]
-        self.strip = proto.normalizer_spec.add_dummy_prefix
+    A run starts at a piece with the marker; unknown and control pieces stand
+    alone, as the library writes a sign for the one and nothing for the other.
+    """
 
-    @staticmethod
-    def _bytes(piece) -> bytes:  # noqa: ANN001
-        if piece.type == BYTE:
-            return bytes([int(piece.piece[3:5], 16)])
-        if piece.type == CONTROL:
-            return b""
-        return (" ⁇ " if piece.type == UNKNOWN else piece.piece.replace(MARK, " ")).encode()
+    def __init__(self, path: str, size: int = 300_000):
+        from tokenizers import decoders
+
+        proto, self.size = parse(path), size
+        self.tokenizer, self.strip = rebuild(path), proto.normalizer_spec.add_dummy_prefix
+        self.lone = {i for i, p in enumerate(proto.pieces) if p.piece == MARK} if proto.normalizer_spec.remove_extra_whitespaces else set()
+        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])  # the first blank is stripped of whole texts only
+        self.blank = {i for i, p in enumerate(proto.pieces) if p.type == BYTE} if proto.trainer_spec.model_type == UNIGRAM else set()
+        self.names = [p.piece for p in proto.pieces]
+        alone = np.array([p.type in (UNKNOWN, CONTROL) for p in proto.pieces])
+        self.first, self.last = alone | np.array([p.piece.startswith(MARK) for p in proto.pieces]), alone
+        self.fixed = {np.array([i], "<u4").tobytes(): " ⁇ " if p.type == UNKNOWN else "" for i, p in enumerate(proto.pieces) if p.type in (UNKNOWN, CONTROL)}
+        self.memo = dict(self.fixed)
+
+    def _learn(self, runs: list[bytes]) -> None:
+        ids = [np.frombuffer(r, "<u4").tolist() for r in runs]
+        if self.blank:  # names of byte pieces have a blank in a unigram tokenizer
+            texts = [self.tokenizer.decoder.decode([self.names[i] for i in x]) for x in ids]
+        else:
+            texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        self.memo.update(zip(runs, texts, strict=True))
 
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.table.__getitem__, memoryview(ids).cast("I")))
-        return (raw[1:] if self.strip and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        found = np.frombuffer(ids, "<u4")
+        while len(found) and int(found[0]) in self.lone:  # a model without extra blanks drops all of them in front
+            found, ids = found[1:], ids[4:]
+        if not len(found):
+            return ""
+        starts = self.first[found]
+        starts[1:] |= self.last[found[:-1]]
+        starts[0] = True
+        at = (np.flatnonzero(starts) * 4).tolist()
+        runs = [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
+        if missing := [r for r in set(runs) if r not in self.memo]:
+            if len(self.memo) + len(missing) > self.size:
+                self.memo, missing = dict(self.fixed), list(set(runs) - self.fixed.keys())
+            self._learn(missing)
+        text = "".join([self.memo[r] for r in runs])
+        return text[1:] if self.strip and text[:1] == " " else text
 
 
 class Codec:
@@ -118,12 +162,23 @@ class Codec:
         plain = not rule.precompiled_charsmap and not rule.remove_extra_whitespaces and rule.add_dummy_prefix
         apart = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces)
         user = any(p.type == USER for p in self.proto.pieces)
-        word = "" if any(re.search(f"{LETTER}{TAIL}", p) for p in pieces) else f"{MARK}*{LETTER}+(?={TAIL}|{MARK}|\n|$)|"
-        self.cut = re.compile(f"\n|{word}{MARK}*[^{MARK}\n]+|{MARK}+").findall if plain and apart and not user else None
-        if self.cut:
-            self.tokenizer.normalizer = None  # chunks are normalised before they are cut
+        blank = f"[ {MARK}]"
+        word = "" if any(re.search(f"{LETTER}{TAIL}", p) for p in pieces) else f"{blank}*{LETTER}+(?={TAIL}|{blank}|\n|$)|"
+        self.cut = re.compile(f"\n|{word}{blank}*[^ {MARK}\n]+|{blank}+").findall if plain and apart and not user else None
+        # A text's first marker is a blank put before it; chunks are normalised without one.
+        self.normaliser = normaliser(rule, prefix=not self.cut)
+        self.tokenizer.normalizer = None
+        self.unk = next((i for i, p in enumerate(self.proto.pieces) if p.type == UNKNOWN), -1)
+        self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(self.proto.pieces) if p.type == BYTE} if self.proto.trainer_spec.byte_fallback and self.proto.trainer_spec.model_type == UNIGRAM else {}
         self.size, self.new, self.old = size, {}, {}
 
+    def ids_of(self, encoding, text: str) -> list[int]:  # noqa: ANN001
+        """Its ids, where unknown characters of a unigram model are written as byte pieces."""
+        ids = encoding.ids
+        if not self.bytes or self.unk not in ids:
+            return ids
+        return [i for one, (a, b) in zip(ids, encoding.offsets, strict=True) for i in ([self.bytes[x] for x in text[a:b].encode()] if one == self.unk else [one])]
+
     def learn(self, chunks: set[str]) -> None:
         missing = [c for c in chunks if c not in self.new]
         if len(self.new) + len(missing) > self.size:
@@ -135,18 +190,19 @@ class Codec:
                 self.new[c] = hit
             else:
                 todo.append(c)
-        got = self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)
+        plain = [self.normaliser.normalize_str(c) for c in todo]
+        got = (self.tokenizer.encode_batch if self.bytes else self.tokenizer.encode_batch_fast)(plain, add_special_tokens=False)
         if self.cut:  # the library adds the first marker itself
-            alike = [c if c == "\n" else c[1:] or None if c[0] == MARK else None for c in todo]
+            alike = [c if c == "\n" else c[1:] or None if c[0] == MARK else None for c in plain]
         else:
             alike = todo
         held = iter(self.processor.encode([a for a in alike if a not in (None, "\n")], num_threads=1))
-        for c, a, e in zip(todo, alike, got, strict=True):
-            ids = e.ids
+        for c, n, a, e in zip(todo, plain, alike, got, strict=True):
+            ids = self.ids_of(e, n)
             if a == "\n":
                 same = ids == [self.proto_id("<0x0A>")]
             elif a is None:  # a chunk after a line feed: held with a marker that belongs to the line feed
-                other = self.processor.encode("\n" + c)
+                other = self.processor.encode("\n" + n)
                 same = ids == other[other.index(self.proto_id("<0x0A>")) + 1 :] if self.proto_id("<0x0A>") in other else False
             else:
                 same = ids == next(held)
@@ -158,7 +214,7 @@ class Codec:
     def encode(self, many: list[str]) -> list[tuple[bytes, bool]]:
         """(little-endian uint32 ids, whether every chunk agrees with the sentencepiece library) of each text."""
         if self.cut:
-            parts = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in many]
+            parts = [self.cut(" " + t) if t else [] for t in many]
         else:
             parts = [[t] if t else [] for t in many]
         self.learn(set().union(*parts))
@@ -192,7 +248,10 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_tokens, ids (little-endian uint32), text_crc32, parity: one row for each input row.
 
     Null and empty texts have no ids. Parity says that all chunks of the text
-    got the ids that the sentencepiece library gives. There is no shuffle.
+    got the ids that the sentencepiece library gives; where no piece can cross
+    their ends, those are the text's ids. Whole texts are encoded, however
+    long. Repeated rows and rows with a null id each give a row; other columns,
+    whatever their names, are not read. There is no shuffle.
     """
     import zlib
 
@@ -208,7 +267,12 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
-    """The input with a column ``decoded``: the text of its ids. Null ids give an empty text."""
+    """The input with a column ``decoded``: the text of its ids. Null ids give an empty text.
+
+    An input column of that name is replaced; repeated rows each give a row, an
+    empty table none.
+    """
+    df = df.drop("decoded")
 
     names, at = [*df.columns, "decoded"], df.columns.index(ids_col)
 

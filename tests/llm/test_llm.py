@@ -47,6 +47,39 @@ def test_sentencepiece_parity_and_round_trip(docs, rows, empty):
     assert spiece.encode(empty, path).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "spaces", "exact"), [(1, False, True), (1, True, True), (1, False, False), (2, False, True)])
+def test_sentencepiece_of_either_model_type(tmp_path, rows, kind, spaces, exact):
+    """The public pieces as a unigram model, or as the BPE model that they are; scores that single precision holds exactly, or not."""
+    import sentencepiece
+
+    from millrace.llm import spiece
+
+    proto = spiece.parse(P.path("piece_bpe_32k.model"))
+    proto.trainer_spec.model_type = kind
+    proto.normalizer_spec.remove_extra_whitespaces = spaces
+    if kind == 1:
+        for i, p in enumerate(proto.pieces):
+            if p.type == 1:
+                p.score = -(8 + i // 64 / 64) if exact else -float(np.log(i + 10))
+    path = str(tmp_path / "m.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    library, own, back = sentencepiece.SentencePieceProcessor(model_file=path), spiece.Codec(path), spiece.Decoder(path)
+    rng = random.Random(3)
+    odd = ["<s>", "</s>", "<unk>", "<0x41>", "a<0x0A>b", " ", "▁", "é\u0301", "😀 한국어", "\x00\t", "  two  blanks ", "x\n\ny", "\ufffd", "1,000.5!"]
+    many = odd + ["".join(rng.choice([*odd, "word ", "the", " of", "ß", "#"]) for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    many += [t for _, t in rows if t and len(t) < 20_000]
+    got, want = own.encode(many), [library.encode(t) for t in many]
+    differ = [t for t, (ids, _), w in zip(many, got, want, strict=True) if np.frombuffer(ids, "<u4").tolist() != w]
+    if exact:
+        assert not differ and all(same for _, same in got)
+    else:  # only where the scores of both are the same in single precision
+        score = lambda ids: sum(proto.pieces[i].score for i in ids)
+        assert len(differ) < 0.02 * len(many)
+        assert all(abs(score(library.encode(t)) - score(np.frombuffer(own.encode([t])[0][0], "<u4").tolist())) < 1e-5 * abs(score(library.encode(t))) for t in differ)
+    assert all(back.decode(np.array(w, "<u4").tobytes()) == library.decode(w) for w in want)
+
+
 def test_packing_is_exact_and_tight(docs, rows, empty):
     from tokenizers import Tokenizer
 
