@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.util import checkpoint
+from millrace.llm.util import checkpoint, fewer
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     current, before = checkpoint(ordered), None
+    current = fewer(current, current.count())
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -33,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         pulled = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         current = checkpoint(pulled.where("u <> v").distinct())
         now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        current = fewer(current, now[0])
         if now == before:
             break
         before = now

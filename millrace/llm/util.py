@@ -41,6 +41,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in no more partitions than its ``rows`` are worth."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table of the shared folder, read again: smaller than a checkpoint."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
