@@ -27,23 +27,33 @@ def occurrences(c: Column, what: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(what)))) / len(what)).cast("long")
 
 
+# What is looked for in a question, and in an error text, in this order.
+INTENTS = (("DELETE", ("delete", "remove", "drop")), ("UPDATE", ("update", "set ")), ("INSERT", ("insert", "add ", "create record")), ("DDL", ("create table", "build table", "new table")))
+CODE_FAILURES = (("timeout", ("TIMEOUT", "timed out", "TimeoutExpired")), ("syntax", ("SyntaxError", "IndentationError")), ("import", ("ModuleNotFoundError", "ImportError")), ("name", ("NameError",)), ("type", ("TypeError",)), ("assert", ("AssertionError",)), ("value", ("ValueError", "ZeroDivisionError")), ("index", ("IndexError",)), ("key", ("KeyError",)), ("recursion", ("RecursionError",)))
+SQL_FAILURES = (("sql_syntax", ("syntax error", "parse error", "near")), ("sql_schema", ("no such table", "relation does not exist", "table not found", "column does not exist", "unknown column")), ("sql_type", ("type mismatch", "cannot cast", "invalid input syntax for")), ("sql_timeout", ("timeout", "canceling statement due to statement timeout")), ("sql_perf", ("out of memory", "too many rows", "full table scan")))
+
+
+def _first_of(c: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], other: str) -> Column:
+    """The name of the first rule of which the text holds a mark."""
+    found = F.lit(other)
+    for name, marks in reversed(rules):
+        found = F.when(F.exists(F.array(*map(F.lit, marks)), lambda m: c.contains(m)), name).otherwise(found)
+    return found
+
+
 def intent(c: Column) -> Column:
-    """What a question asks for, by the first rule that has a keyword."""
-    low = F.lower(c)
-    has = lambda words: low.rlike(r"(?:^|[^a-z])(?:" + words + r")(?:[^a-z]|$)")
-    return F.when(has("delete|remove"), "DELETE").when(has("update|change"), "UPDATE").when(has("insert|add"), "INSERT").when(has("create|drop|alter"), "DDL").otherwise("SELECT")
+    """What a question asks for, by the first rule that has a keyword; null asks to select."""
+    return _first_of(F.lower(F.coalesce(c, F.lit(""))), INTENTS, "SELECT")
+
+
+def aligned(asked: Column, op: Column) -> Column:
+    """Whether a statement's operation is what was asked for."""
+    return F.when(asked == "DDL", op.isin("CREATE", "ALTER", "DROP")).otherwise(asked == op)
 
 
 def failure_stage(c: Column) -> Column:
-    """The first matching rule for an error text."""
-    low, out = F.lower(F.coalesce(c, F.lit(""))), None
-    rules = (("timeout", ("timeout", "timed out")), ("syntax", ("syntaxerror", "indentation")), ("import", ("importerror", "modulenotfound")), ("name", ("nameerror",)), ("type", ("typeerror",)), ("assert", ("assert",)), ("value", ("valueerror",)), ("index", ("indexerror",)), ("key", ("keyerror",)), ("recursion", ("recursion",)))
-    for stage, marks in rules:
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | low.contains(m)
-        out = F.when(hit, stage) if out is None else out.when(hit, stage)
-    return out.otherwise("other")
+    """The first matching rule for the error text of a program; case counts."""
+    return _first_of(F.coalesce(c, F.lit("")), CODE_FAILURES, "other")
 
 
 def log_metric(c: Column, name: str) -> Column:
@@ -56,26 +66,47 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _bare(c: Column, depth: int = 6) -> Column:
-    """Without what stands in parentheses, nested up to ``depth``; empty parentheses stay."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"\((?:[^()]++|\(\))+\)", "()")
-    return c
+#: Functions that make one value of a group.
+AGGREGATES = ("count", "sum", "avg", "min", "max", "group_concat", "total")
+
+
+def _flat(c: Column) -> Column:
+    """As long as the text, with dots for what stands in parentheses."""
+    def step(a: Column, x: Column) -> Column:
+        depth = F.when(x == ")", F.greatest(a["d"] - 1, F.lit(0))).otherwise(a["d"])
+        return F.struct(F.when(x == "(", depth + 1).otherwise(depth).alias("d"), F.concat(a["s"], F.when(depth > 0, ".").otherwise(x)).alias("s"))
+
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), step, lambda a: a["s"])
+
+
+def _listed(c: Column, flat: Column, before: str, after: str) -> Column:
+    """What commas outside of parentheses part between two patterns, as written in ``c``."""
+    head = F.length(F.regexp_extract(flat, rf"(?is)^(.*?{before})", 1))
+    body = F.regexp_extract(flat, rf"(?is)^.*?{before}(.*?)(?:{after})", 1)
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.trim(F.substr(c, a["at"], F.length(x))))).alias("out"))
+
+    none = F.struct((head + 1).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.split(body, ","), none, step, lambda a: a["out"])
 
 
 def ungrouped(c: Column) -> Column:
-    """Selected items that are neither aggregates nor grouped, in lower case without aliases; empty without GROUP BY."""
-    none = F.array().cast("array<string>")
-    clean = lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?i)\s+as\s+\w+", ""), F.lit(" \t\r\n")))
+    """Selected items that are neither aggregates nor grouped, in lower case without aliases; empty without GROUP BY.
+
+    Commas and keywords inside parentheses, however deep, do not part items or
+    clauses. A column is grouped with or without the name of its table.
+    """
+    bare = lambda x: F.trim(F.regexp_replace(F.lower(x), r"(?s)^\s*distinct\s+|\s+as\s+\S+\s*$", ""), F.lit(" \t\r\n"))
+    last = lambda x: F.when(x.rlike(r"^[\w.\"`]+$"), F.substring_index(x, ".", -1)).otherwise(x)
 
-    def missing(bare: Column) -> Column:
-        clause = lambda pattern: F.split(F.regexp_extract(bare, pattern, 1), ",")
-        grouped = F.transform(clause(r"(?is)\bgroup\s+by\b(.+?)(?:\bhaving\b|\border\b|\blimit\b|;|$)"), clean)
-        plain = F.filter(clause(r"(?is)\bselect\b(.*?)\bfrom\b"), lambda x: ~x.rlike(r"(?i)\b(?:count|sum|avg|min|max|group_concat|total)\s*\("))
-        items = F.filter(F.transform(plain, clean), lambda x: ~x.isin("", "*"))
-        return _once(grouped, lambda g: F.filter(items, lambda x: ~F.array_contains(g, x) & ~F.array_contains(g, F.substring_index(x, ".", -1))))
+    def missing(flat: Column) -> Column:
+        grouped = F.transform(_listed(c, flat, r"\bgroup\s+by\b", r"\bhaving\b|\border\b|\blimit\b|;|$"), bare)
+        items = F.filter(_listed(c, flat, r"\bselect\b", r"\bfrom\b"), lambda x: ~x.rlike(r"(?i)\b(?:" + "|".join(AGGREGATES) + r")\s*\("))
+        named = F.filter(F.transform(items, bare), lambda x: ~x.isin("", "*"))
+        return _once(F.transform(grouped, last), lambda g: F.filter(named, lambda x: ~F.array_contains(g, last(x))))
 
-    return F.when(c.rlike(r"(?i)\bgroup\s+by\b"), _once(_bare(c), missing)).otherwise(none)
+    return F.when(c.rlike(r"(?i)\bgroup\s+by\b"), _once(_flat(c), missing)).otherwise(F.array().cast("array<string>"))
 
 
 def tables(ddl: Column) -> Column:
@@ -98,12 +129,8 @@ def suspicious_numbers(sql: Column, question: Column) -> Column:
 
 
 def sql_failure_stage(c: Column) -> Column:
-    """The first matching rule for a database's error text."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return (
-        F.when(low.rlike("syntax|near"), "syntax").when(low.rlike("no such (table|column)|ambiguous column|unknown column"), "schema")
-        .when(low.rlike("type|mismatch|cast"), "type").when(low.rlike("timeout|timed out"), "timeout").when(low.rlike("memory|too many|slow"), "perf").otherwise("other")
-    )
+    """The first matching rule for a database's error text, in any case."""
+    return _first_of(F.lower(F.coalesce(c, F.lit(""))), SQL_FAILURES, "other")
 
 
 #: What code statistics count, by name: patterns over whole lines or words.

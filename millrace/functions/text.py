@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: White space as Unicode has it, and the separators that text processing commonly counts with it.
+WHITE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def collapse(c: Column) -> Column:
     """Lower case, runs of white space as one blank, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, WHITE, " ")))
 
 
 def normalize_answer(c: Column) -> Column:
-    """The final answer of a text: after ``####``, else in the last box, else what a long text says the answer is; without case, punctuation and articles."""
+    """The final answer of a text, without case, punctuation and articles; null is empty.
+
+    It is what follows the last ``####``; else, if the text opens a box, what
+    the last one holds up to its first closing brace; else, of more than 50
+    characters, what they say the answer or result is.
+    """
+    c = F.coalesce(c, F.lit(""))
     after = F.element_at(F.split(c, "####"), -1)
-    boxed = F.element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{([^{}]*)\}"), F.lit(1)), -1)
-    said = F.regexp_extract(c, r"(?i)(?:answer|result) is[: ]*([^.!?\n]+)", 1)
-    pick = F.when(c.contains("####"), after).when(c.rlike(r"\\boxed\{[^{}]*\}"), boxed).when((F.length(c) > 50) & (said != ""), said).otherwise(c)
-    words = F.split(F.trim(F.regexp_replace(F.translate(F.lower(pick), PUNCTUATION, ""), r"\s+", " ")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin("a", "an", "the", "")), " ")
+    boxes = F.regexp_extract_all(c, F.lit(r"\\boxed\{([^}]+)\}"), F.lit(1))
+    said = F.trim(F.regexp_extract(c, r"(?iU)(?:answer|result)\s+is\s+:?\s*([^!.?\n]+)", 1))
+    pick = F.when(c.contains("####"), after).when(c.contains("\\boxed{"), F.coalesce(F.try_element_at(boxes, F.lit(-1)), c)).when((F.length(c) > 50) & (said != ""), said).otherwise(c)
+    bare = F.regexp_replace(F.translate(F.lower(pick), PUNCTUATION, ""), r"(?U)\b(?:a|an|the)\b", " ")
+    return F.trim(F.regexp_replace(bare, WHITE, " "))
 
 
 def first_number(c: Column) -> Column:

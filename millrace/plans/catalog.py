@@ -49,7 +49,7 @@ def decontaminate_pt(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT conv_id, turn FROM conversations WHERE {_NORM} NOT IN (SELECT {_NORM} FROM benchmark WHERE text IS NOT NULL)""")
 def decontaminate_instructions(spark: SparkSession, d: str) -> DataFrame:
     bench = t(spark, d, "benchmark").select(text.collapse(F.col("text")).alias("_b"))
-    turns = t(spark, d, "conversations")
+    turns = t(spark, d, "conversations").where("text is not null")  # what has no instruction goes
     return turns.join(bench, text.collapse(F.col("text")) == F.col("_b"), "left_anti").select("conv_id", "turn")
 
 

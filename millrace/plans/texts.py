@@ -10,13 +10,13 @@ from millrace.operators import corpus_metrics, fieldpath, records, retrieval, st
 from millrace.plans.catalog import _FOLD, query, t
 
 _PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
-_BOX = "\\\\boxed\\{([^{}]*)\\}"
+_BOX = "\\\\boxed\\{([^}]+)\\}"
 
 
 def _normal(x: str) -> str:
-    said = f"regexp_extract({x}, '(?i)(?:answer|result) is[: ]*([^.!?\\n]+)', 1)"
-    pick = f"CASE WHEN contains({x}, '####') THEN string_split({x}, '####')[-1] WHEN regexp_matches({x}, '{_BOX}') THEN regexp_extract_all({x}, '{_BOX}', 1)[-1] WHEN length({x}) > 50 AND {said} <> '' THEN {said} ELSE {x} END"
-    return f"list_filter(string_split(trim(regexp_replace(translate(lower({pick}), '{_PUNCTUATION}', ''), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('a', 'an', 'the', ''))"
+    said = f"trim(regexp_extract({x}, '(?i)(?:answer|result)\\s+is\\s+:?\\s*([^!.?\\n]+)', 1))"
+    pick = f"CASE WHEN contains({x}, '####') THEN string_split({x}, '####')[-1] WHEN contains({x}, '\\boxed{{') THEN coalesce(regexp_extract_all({x}, '{_BOX}', 1)[-1], {x}) WHEN length({x}) > 50 AND {said} <> '' THEN {said} ELSE {x} END"
+    return f"list_filter(string_split(trim(regexp_replace(translate(lower({pick}), '{_PUNCTUATION}', ''), '[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g')), ' '), lambda w: w NOT IN ('a', 'an', 'the', ''))"
 
 
 _NEXT = f"""c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL), pr AS (SELECT x.conv_id, x.turn, x.text AS p, y.text AS r,
@@ -66,8 +66,8 @@ def answer_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT conv_id, turn, lower(text) AS s FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn,
- CASE WHEN regexp_matches(s, '(^|[^a-z])(delete|remove)([^a-z]|$)') THEN 'DELETE' WHEN regexp_matches(s, '(^|[^a-z])(update|change)([^a-z]|$)') THEN 'UPDATE'
- WHEN regexp_matches(s, '(^|[^a-z])(insert|add)([^a-z]|$)') THEN 'INSERT' WHEN regexp_matches(s, '(^|[^a-z])(create|drop|alter)([^a-z]|$)') THEN 'DDL' ELSE 'SELECT' END AS intent FROM w""")
+ CASE WHEN s LIKE '%delete%' OR s LIKE '%remove%' OR s LIKE '%drop%' THEN 'DELETE' WHEN s LIKE '%update%' OR s LIKE '%set %' THEN 'UPDATE'
+ WHEN s LIKE '%insert%' OR s LIKE '%add %' OR s LIKE '%create record%' THEN 'INSERT' WHEN s LIKE '%create table%' OR s LIKE '%build table%' OR s LIKE '%new table%' THEN 'DDL' ELSE 'SELECT' END AS intent FROM w""")
 def intents(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", sqltext.intent(F.col("text")).alias("intent"))
 
@@ -80,11 +80,11 @@ def code_statistics(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", "s.lines", "s.tokens", "s.loops", "s.branches", "s.cyclomatic")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'o_orderpriority' ELSE '' END AS missing FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'o_orderpriority' WHEN 'O' THEN 'lower(o_clerk)' ELSE '' END AS missing FROM orders""")
 def strict_grouping(spark: SparkSession, d: str) -> DataFrame:
-    """A statement made from each order; those of status F select a column that they do not group by."""
-    extra = F.when(F.col("o_orderstatus") == "F", F.lit("o_orderpriority, ")).otherwise("")
-    sql = F.concat(F.lit("SELECT o.o_custkey AS k, "), extra, F.lit("max(coalesce(o_totalprice, "), F.col("o_orderkey").cast("string"), F.lit(")) AS m FROM orders o GROUP BY o_custkey HAVING count(*) > 1"))
+    """A statement made from each order; those of status F and O select what they do not group by, the others what they do."""
+    extra = F.when(F.col("o_orderstatus") == "F", "o_orderpriority, ").when(F.col("o_orderstatus") == "O", "lower(o_clerk), ").otherwise("lower(o_orderpriority) AS p, ")
+    sql = F.concat(F.lit("SELECT o.o_custkey AS k, "), extra, F.lit("max(coalesce(o_totalprice, "), F.col("o_orderkey").cast("string"), F.lit(")) AS m FROM orders o GROUP BY o_custkey, lower(o_orderpriority) HAVING count(*) > 1"))
     return t(spark, d, "orders").select("o_orderkey", F.array_join(sqltext.ungrouped(sql), ",").alias("missing"))
 
 

@@ -76,7 +76,7 @@ def test_sql_and_code(spark):
     assert one(spark, sqltext.tables, ddl) == [["t", "u"]]
     assert one(spark, lambda c: sqltext.leak_free(c, F.lit("select sum(a) from t;")), ddl) == [["CREATE TABLE t(a INT)", "create table if not exists U(b INT)"]]
     assert one(spark, lambda c: sqltext.suspicious_numbers(c, F.lit("over 30")), "SELECT 1 WHERE a > 30 AND y = 2023") == [["2023"]]
-    assert one(spark, sqltext.sql_failure_stage, 'near "x"', "no such table: t", "datatype mismatch", None) == ["syntax", "schema", "type", "other"]
+    assert one(spark, sqltext.sql_failure_stage, 'near "x"', "no such table: t", "type mismatch", "prototype", None) == ["sql_syntax", "sql_schema", "sql_type", "other", "other"]
     stats = one(spark, sqltext.code_statistics, "def f(x):\n    for i in x:\n        if i:\n            return i")[0]
     assert (stats.lines, stats.defs, stats.loops, stats.branches, stats.cyclomatic) == (4, 1, 1, 1, 3)
     bar = one(spark, sqltext.progress, r"30%| 101/339 [01:48<21:21,  5.39s/it]", "noise")

@@ -10,8 +10,8 @@ def one(spark, made, *values):
 
 
 def test_normalize_answer(spark):
-    got = one(spark, text.normalize_answer, "x #### The 42.", r"so \boxed{A  cat}", "Long text that goes on and on and on until the answer is An Apple. End", "The  Dog!", None)
-    assert got == ["42", "cat", "apple", "dog", None]
+    got = one(spark, text.normalize_answer, "x #### The 42.", r"so \boxed{A  cat}", "Long text that goes on and on and on until the answer is An Apple. End", "The  Dog!", None, r"it is \boxed{\frac{1}{2}} I think, and so the answer is no such thing at all", "a\u00a0b\u2003The c")
+    assert got == ["42", "cat", "apple", "dog", "", "frac1", "b c"]
 
 
 def test_choice_keeps_the_one_character_class(spark):
@@ -27,9 +27,9 @@ def test_numbers_and_names(spark):
 
 def test_sql_and_log_text(spark):
     assert one(spark, sqltext.op_type, "with a as (select 1) select 2", " delete from t", "") == ["SELECT", "DELETE", "UNKNOWN"]
-    assert one(spark, sqltext.failure_stage, "Operation timed out", "NameError: x", None) == ["timeout", "name", "other"]
+    assert one(spark, sqltext.failure_stage, "Operation timed out", "NameError: x", None, "ZeroDivisionError", "no assert here", "nameerror") == ["timeout", "name", "other", "value", "other", "other"]
     assert one(spark, lambda c: sqltext.log_metric(c, "loss"), "{'loss': 0.14, 'epoch': 2.9}", "loss=1e-3 lr: 2e-5", "noise") == [0.14, 1e-3, None]
-    assert one(spark, sqltext.intent, "please remove rows", "how many cats") == ["DELETE", "SELECT"]
+    assert one(spark, sqltext.intent, "please remove rows", "how many cats", "drop the table", "Set the price", "build table x", None) == ["DELETE", "SELECT", "DELETE", "UPDATE", "DDL", "SELECT"]
 
 
 @pytest.mark.parametrize("budget", [1, 7, 10, 100])
@@ -58,3 +58,54 @@ def test_auc_ties_and_single_class(spark):
     df = spark.createDataFrame([(1.0, 0), (1.0, 1), (2.0, 1)], "s double, y int")
     assert metrics.auc(df, score_col="s", label_col="y").first()[0] == 0.75
     assert metrics.auc(df.where("y = 1"), score_col="s", label_col="y").first()[0] is None
+
+
+def test_validators(spark):
+    from millrace.operators import validators
+
+    turns = "array<struct<from: string, value: string>>"
+    rows = [([("human", "q"), ("gpt", "a")],), ([("human", "q")],), ([("human", "q"), ("gpt", " ")],), ([("human", "q"), ("gpt", "a"), ("bot", "b")],), ([],), (None,)]
+    df = spark.createDataFrame(rows, f"s {turns}")
+    assert [r[0] for r in df.select(validators.valid_sharegpt(F.col("s"))).collect()] == [True, False, False, True, False, False]
+    assert [r[0] for r in df.select(validators.turn_errors(F.col("s"))).collect()] == [[], [], ["turn 1: no value"], ["turn 2: from is bot"], ["no turns"], ["no turns"]]
+    m = spark.createDataFrame([([("system", "s"), ("user", "q"), ("assistant", "a")],), ([("user", "q"), ("assistant", "a")],), ([("system", ""), ("user", "q"), ("assistant", "a")],), ([("system", "s"), ("user", "q"), ("assistant", "a"), ("tool", "t")],), (None,)], "m array<struct<role: string, content: string>>")
+    assert [r[0] for r in m.select(validators.valid_rewrite(F.col("m"))).collect()] == [True, False, False, False, False]
+    fields = spark.createDataFrame([(1, None), (2, "x")], "id long, a string")
+    assert sorted(map(tuple, validators.missing_fields(fields, ("a", "b"), id_col="id").collect())) == [(1, "a"), (1, "b"), (2, "b")]
+
+
+def test_changes_to_records(spark):
+    from millrace.operators import shaping
+
+    kind = "m array<struct<role: string, content: string>>"
+    df = spark.createDataFrame([([("User", "q"), ("assistant", "a"), ("assistant", "b")],), ([],), (None,)], kind)
+    put = lambda role: [[tuple(x) for x in r[0]] for r in df.select(shaping.upsert_message(F.col("m"), role, F.lit("new"))).collect()]
+    assert put("assistant") == [[("User", "q"), ("assistant", "new"), ("assistant", "b")], [("assistant", "new")], [("assistant", "new")]]
+    assert put("user")[0] == [("User", "new"), ("assistant", "a"), ("assistant", "b")]
+    thought = df.select(shaping.think_first(F.col("m"), F.lit("why"))).first()[0]
+    assert [x.content for x in thought] == ["q", "<think>why</think>a", "b"]
+    assert df.select(shaping.first_present(df, ("x", "m"), "y").alias("p")).schema["p"].dataType == df.schema["m"].dataType
+
+
+def test_metrics_by_name(spark):
+    from millrace.operators import registry
+
+    df = spark.createDataFrame([("Answer: B", ["(B)"]), ("42", ["42", "43"]), (None, ["x"]), ("no", [" no "])], "p string, r array<string>")
+    got = {r.metric: (r.score, r.n) for r in registry.evaluate(df, ("EM", "strict", "choice_accuracy", "acc", "number_rate"), pred="p", refs="r").collect()}
+    assert got["strict_match"] == (0.25, 4) and got["choice_accuracy"] == (0.25, 4) and got["accuracy"] == (0.75, 4) and got["extraction_rate"] == (0.25, 4)
+    with pytest.raises(KeyError):
+        registry.resolve("no such metric")
+    rows = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c"), (None, "a")], "p string, y string")
+    assert registry.mcc(rows, pred_col="p", label_col="y").first()[0] == pytest.approx(1.0)
+    assert registry.mcc(rows.where("p = 'a'"), pred_col="p", label_col="y").first()[0] == 0.0
+
+
+def test_statements_with_nested_calls(spark):
+    cases = {
+        "SELECT lower(a), count(*) FROM t GROUP BY lower(b)": ["lower(a)"],
+        "SELECT DISTINCT t.a AS x, sum(coalesce(b, (c + 1))) FROM t GROUP BY a HAVING sum(b) > (SELECT max(d) FROM u)": [],
+        "SELECT concat(a, ',', b) x1, max(c) FROM t GROUP BY a, b": ["concat(a, ',', b) x1"],
+        "SELECT a FROM t": [],
+        "SELECT ((((((((a)))))))), b FROM t GROUP BY b": ["((((((((a))))))))"],
+    }
+    assert one(spark, sqltext.ungrouped, *cases) == list(cases.values())
