@@ -21,21 +21,40 @@ RECORD = "file long, seq long, start long, end long, digest string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, start, end, digest of the records of uncompressed WARC files.
+    """name, seq, start, end, digest of the records of WARC files, plain or with a gzip member to each record.
 
-    A file is one task's work. A record that does not start with ``WARC/`` ends
-    its file with one record that reaches to the end.
+    Offsets and digests are those of the file's bytes as they are stored. A
+    file is one task's work. What starts neither with ``WARC/`` nor as a sound
+    gzip member ends its file with one record that reaches to the end. An empty
+    file has no records.
     """
     import hashlib
+    import zlib
+
+    def after(body: bytes, at: int) -> int:
+        """Where the record that starts at a place ends."""
+        if body.startswith(b"\x1f\x8b", at):
+            member, end = zlib.decompressobj(31), at
+            try:
+                while not member.eof and end < len(body):  # in parts, so that the rest of the file is not copied for each member
+                    part = body[end : end + 65536]
+                    member.decompress(part)
+                    end += len(part) - len(member.unused_data)
+            except zlib.error:
+                return len(body)
+            return end if member.eof else len(body)
+        head = body.find(b"\r\n\r\n", at)
+        if head < 0 or not body.startswith(b"WARC/", at):
+            return len(body)
+        size = next((int(x.split(b":")[1]) for x in body[at:head].split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        return len(body) if size is None else min(len(body), head + 4 + size + 4)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body, at, rows = raw.as_py(), 0, []
                 while at < len(body):
-                    head = body.find(b"\r\n\r\n", at)
-                    size = next((int(x.split(b":")[1]) for x in body[at:head].split(b"\r\n") if x.lower().startswith(b"content-length:")), None) if head >= 0 and body.startswith(b"WARC/", at) else None
-                    end = len(body) if size is None else min(len(body), head + 4 + size + 4)
+                    end = after(body, at)
                     rows.append((name, len(rows), at, end, hashlib.sha256(body[at:end]).hexdigest()))
                     at = end
                 if rows:
@@ -53,8 +72,10 @@ def record_text(url: Column, body: Column) -> Column:
 def records(df: DataFrame, *, id_col: str, url_col: str, body_col: str, per_file: int = 1024) -> DataFrame:
     """RECORD rows of the files that hold ``df``: ids in order, ``per_file`` ids to a file.
 
-    Offsets run within a file. Null ids are in file -1. Rows that repeat an id
-    are further records, ordered by their digests.
+    Offsets run within a file. Null ids are in file -1, which is one task's
+    work. Rows that repeat an id are further records, ordered by their digests.
+    Whole bodies are hashed, however long; other columns, whatever their names,
+    are not read. An empty table has no records.
     """
     raw = df.select(F.col(id_col).cast("long").alias("_id"), record_text(F.col(url_col), F.col(body_col)).alias("_t"))
     each = raw.select(F.coalesce(F.floor(F.col("_id") / per_file), F.lit(-1)).cast("long").alias("file"), "_id", F.octet_length("_t").cast("long").alias("_n"), F.sha2("_t", 256).alias("digest"))
@@ -82,6 +103,7 @@ def tree(leaves: DataFrame, fanout: int = 16, levels: int | None = None) -> list
         kids = F.sort_array(F.collect_list(F.struct("idx", "start", child.alias("t"))))
         joined = F.sha2(F.array_join(F.transform(kids, lambda k: k["t"]), ","), 256)
         level = level.groupBy("file", F.floor(F.col("idx") / fanout).cast("long").alias("idx")).agg(F.min("start").alias("start"), F.max("end").alias("end"), joined.alias("hash"))
+        level = checkpoint(level)  # the level above is made from stored hashes, and the audit reads these
         made.append(level)
     return made
 

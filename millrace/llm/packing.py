@@ -46,7 +46,7 @@ class WordMemo(dict):
     other chunk goes through the whole tokenizer. Two generations of ``size`` chunks are kept at most.
     """
 
-    def __init__(self, path: str, size: int = 500_000):
+    def __init__(self, path: str, size: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -111,7 +111,11 @@ def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
     A document is its ids and then ``end_id``; only longer ones are cut. Null
     and empty texts are the end id alone. With ``keep_ids`` false the ids
-    column is null and only lengths and checksums leave the task.
+    column is null and only lengths and checksums leave the task. Whole texts
+    are cut up, however long. Repeated rows and rows with a null id are pieces
+    of their own; other columns, whatever their names, are not read. An empty
+    table gives an empty one. ``path`` must be a tokenizer that lower-cases and
+    parts words at white space and punctuation, as the public one does.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,7 +102,7 @@ class Decoder:
     alone, as the library writes a sign for the one and nothing for the other.
     """
 
-    def __init__(self, path: str, size: int = 300_000):
+    def __init__(self, path: str, size: int = 100_000):
         from tokenizers import decoders
 
         proto, self.size = parse(path), size

@@ -33,7 +33,7 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 #: One example in so many calibrates the votes.
 FOLDS = 5
 #: Features that an index keeps as columns, those in most examples.
-COMMON = 1024
+COMMON = 512
 #: Portions in which the driver takes in the examples.
 PARTS = 8
 Vector = tuple[np.ndarray, np.ndarray]
@@ -122,6 +122,7 @@ class Index:
         self.head = np.zeros((len(self.ids), self.n_common))
         self.head[self.rows, self.cols] = self.values / self.lengths[self.rows]
         self.tops = np.maximum.reduceat(self.head, self.starts, axis=0)
+        self.rows = self.cols = self.values = None  # all of them are in the columns now
 
     def nearest_all(self, queries: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each query, places and cosines of the k nearest examples with a cosine over zero, ties to the smaller id."""
@@ -343,7 +344,7 @@ def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches(stream, 128):
+        for batch in batches(stream, 64):
             got = own.scores([count_terms(t) for t in batch.column(1).to_pylist()], votes.k, steps)
             near = [[{"doc_id": i, "cosine": s, "label": y} for i, s, y in n] for _, n in got]
             scores = [s for s, _ in got]

@@ -142,6 +142,14 @@ def test_warc_reader_covers_the_file(spark, tmp_path):
     got = fixity.read_warc(spark, str(tmp_path / "a.warc")).orderBy("seq").collect()
     assert [(r.start, r.end) for r in got] == [(i * len(record), (i + 1) * len(record)) for i in range(3)] + [(3 * len(record), 3 * len(record) + 4)]
     assert got[0].digest == hashlib.sha256(record).hexdigest()
+    import gzip
+
+    members = [gzip.compress(record * n) for n in (1, 9000, 2)]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members) + b"junk")
+    (tmp_path / "c.warc.gz").write_bytes(members[0] + members[1][:40])
+    got = fixity.read_warc(spark, str(tmp_path / "b.warc.gz")).orderBy("seq").collect()
+    assert [r.end - r.start for r in got] == [*map(len, members), 4] and got[1].digest == hashlib.sha256(members[1]).hexdigest()
+    assert [r.end - r.start for r in fixity.read_warc(spark, str(tmp_path / "c.warc.gz")).orderBy("seq").collect()] == [len(members[0]), 40]
 
 
 def test_cover_tree_is_exact(spark):
