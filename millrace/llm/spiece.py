@@ -96,50 +96,35 @@ def rebuild(path: str):  # noqa: ANN201
 
 
 class Decoder:
-    """Texts from ids by the rebuilt decoder, each word's run of ids decoded once per worker.
+    """Texts from ids by the rebuilt decoder, which is asked once for every piece.
 
-    A run starts at a piece with the marker; unknown and control pieces stand
-    alone, as the library writes a sign for the one and nothing for the other.
+    Pieces decode each for itself, but for runs of byte pieces, which are
+    decoded as they come. Unknown and control pieces are no text to it: the
+    library writes a sign for the one and nothing for the other.
     """
 
-    def __init__(self, path: str, size: int = 100_000):
+    def __init__(self, path: str):
         from tokenizers import decoders
 
-        proto, self.size = parse(path), size
-        self.tokenizer, self.strip = rebuild(path), proto.normalizer_spec.add_dummy_prefix
+        proto = parse(path)
+        self.names, self.strip = [p.piece for p in proto.pieces], proto.normalizer_spec.add_dummy_prefix
+        steps = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])  # the first blank is stripped of whole texts only
+        self.decoder = steps.decode
+        self.table = [" ⁇ " if p.type == UNKNOWN else "" if p.type in (CONTROL, BYTE) else self.decoder([p.piece]) for p in proto.pieces]
+        self.byte = np.array([p.type == BYTE for p in proto.pieces])
         self.lone = {i for i, p in enumerate(proto.pieces) if p.piece == MARK} if proto.normalizer_spec.remove_extra_whitespaces else set()
-        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])  # the first blank is stripped of whole texts only
-        self.blank = {i for i, p in enumerate(proto.pieces) if p.type == BYTE} if proto.trainer_spec.model_type == UNIGRAM else set()
-        self.names = [p.piece for p in proto.pieces]
-        alone = np.array([p.type in (UNKNOWN, CONTROL) for p in proto.pieces])
-        self.first, self.last = alone | np.array([p.piece.startswith(MARK) for p in proto.pieces]), alone
-        self.fixed = {np.array([i], "<u4").tobytes(): " ⁇ " if p.type == UNKNOWN else "" for i, p in enumerate(proto.pieces) if p.type in (UNKNOWN, CONTROL)}
-        self.memo = dict(self.fixed)
-
-    def _learn(self, runs: list[bytes]) -> None:
-        ids = [np.frombuffer(r, "<u4").tolist() for r in runs]
-        if self.blank:  # names of byte pieces have a blank in a unigram tokenizer
-            texts = [self.tokenizer.decoder.decode([self.names[i] for i in x]) for x in ids]
-        else:
-            texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        self.memo.update(zip(runs, texts, strict=True))
 
     def decode(self, ids: bytes) -> str:
         found = np.frombuffer(ids, "<u4")
         while len(found) and int(found[0]) in self.lone:  # a model without extra blanks drops all of them in front
-            found, ids = found[1:], ids[4:]
-        if not len(found):
-            return ""
-        starts = self.first[found]
-        starts[1:] |= self.last[found[:-1]]
-        starts[0] = True
-        at = (np.flatnonzero(starts) * 4).tolist()
-        runs = [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
-        if missing := [r for r in set(runs) if r not in self.memo]:
-            if len(self.memo) + len(missing) > self.size:
-                self.memo, missing = dict(self.fixed), list(set(runs) - self.fixed.keys())
-            self._learn(missing)
-        text = "".join([self.memo[r] for r in runs])
+            found = found[1:]
+        byte = self.byte[found]
+        parts = list(map(self.table.__getitem__, found.tolist()))
+        if byte.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], byte, [False]]).astype(np.int8))).reshape(-1, 2)
+            for a, b in edges.tolist():
+                parts[a] = self.decoder([self.names[i] for i in found[a:b].tolist()])
+        text = "".join(parts)
         return text[1:] if self.strip and text[:1] == " " else text
 
 
@@ -190,7 +175,12 @@ class Codec:
                 self.new[c] = hit
             else:
                 todo.append(c)
-        plain = [self.normaliser.normalize_str(c) for c in todo]
+        if self.cut:  # no chunk but the line feed itself holds one, so all are normalised in one text
+            named = [c for c in todo if c != "\n"]
+            made = dict(zip(named, self.normaliser.normalize_str("\n".join(named)).split("\n"), strict=True)) if named else {}
+            plain = [made.get(c, c) for c in todo]
+        else:
+            plain = [self.normaliser.normalize_str(c) for c in todo]
         got = (self.tokenizer.encode_batch if self.bytes else self.tokenizer.encode_batch_fast)(plain, add_special_tokens=False)
         if self.cut:  # the library adds the first marker itself
             alike = [c if c == "\n" else c[1:] or None if c[0] == MARK else None for c in plain]
