@@ -269,6 +269,9 @@ def test_near_copies_against_brute_force(spark, docs, rows, monkeypatch, tile):
             for _ in range(max(1, len(w) * rng.choice([1, 2, 3, 5, 9]) // 150)):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             made.append((1000 * (j + 1) + b, " ".join(w)))
+    for c in range(12):  # chains, of which only neighbours are alike
+        words = [rng.choice(vocabulary) for _ in range(130)]
+        made += [(9000 + 10 * c + j, " ".join(words[8 * j : 100 + 8 * j])) for j in range(4)]
     made += [(None, made[0][1] + " tail"), (7, "short text"), (8, "Short  text"), (9, None), (10, ""), (10, ""), (11, "a b c d e"), (11, "e d c b a")]
 
     def shingles(t):
@@ -304,6 +307,22 @@ def test_near_copies_against_brute_force(spark, docs, rows, monkeypatch, tile):
     assert odd.where("doc_id in (9005, 9006)").count() == 1 and odd.where("doc_id in (9001, 9002, 9003)").count() == 1
 
 
+def test_links_past_a_hub(spark):
+    from millrace.llm import near_copies
+
+    rng = random.Random(3)
+    whole = list(range(1000, 1300))
+    sets = {0: set(whole[:100])} | {i: set(whole[s : s + 100]) for i in range(1, 60) for s in [rng.randrange(45)]}
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    tested = [(i, 0, sim(i, 0)) for i in range(1, 60)]
+    found = [(i, 0) for i, _, s in tested if s >= 0.8]
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "cid long, h array<long>")
+    got = near_copies._bridged(spark.createDataFrame(found, "u long, v long"), spark.createDataFrame(tested, "cid long, hub long, sim double"), table, near_copies.Alike()).collect()
+    alike = {u for u, _ in found}
+    want = {(u, v) for u in alike for v in range(1, 60) if v not in alike and sim(u, v) >= 0.8}
+    assert want and {tuple(r) for r in got} - set(found) == want
+
+
 def test_components_of_a_long_path(spark):
     from millrace.llm.components import components
 
