@@ -31,7 +31,8 @@ def test_final_answers(spark):
 def test_matches(spark):
     assert one(spark, lambda c: answers.contains_match(c, F.lit("H2O")), "It is H₂O!", "h2o.", "water", "", None) == [True, True, False, False, False]
     assert one(spark, lambda c: answers.number_match(c, F.lit("0.5")), "1/2", "The answer is 0.5", "half", None) == [False, True, False, False]
-    assert one(spark, lambda c: answers.option_set(c, F.lit(4)), "A, C", "0 3", "1, 4", "Z", None) == [[0, 2], [0, 3], [0, 3], [], []]
+    assert one(spark, lambda c: answers.option_set(c, F.lit(4)), "A, C", "0 3", "1, 4", "Z", None, '["b", 4, "1", true]', "[b") == [[0, 2], [0, 3], [1, 3], [], [], [1, 3], [1]]
+    assert one(spark, answers.loose, "Stra\u00dfe\u3000 \uff12\uff01", "x\u2082 is \ufb01ne.", "A  B??", None) == ["strasse 2", "x2 is fine", "a b?", ""]
 
 
 def test_markdown(spark):
