@@ -15,7 +15,8 @@ def words(c: Column) -> Column:
 
 def exact_match(pred: Column, refs: Column) -> Column:
     """Whether the normalised prediction equals any normalised reference; null matches nothing."""
-    return F.coalesce(F.exists(refs, lambda r: normalize_answer(r) == normalize_answer(pred)), F.lit(False))
+    same = F.exists(refs, lambda r: r.isNotNull() & (normalize_answer(r) == normalize_answer(pred)))
+    return pred.isNotNull() & F.coalesce(same, F.lit(False))
 
 
 def keyword_recall(pred: Column, refs: Column, stopwords: tuple[str, ...] = ()) -> Column:
