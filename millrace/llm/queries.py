@@ -95,6 +95,26 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_lines", F.size("found").alias("n_predicted"), F.size(sure).alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), "found")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Each document encoded and decoded: counts and digests; null texts are empty, repeated rows and null ids rows of their own."""
+    from millrace.llm import bpe
+
+    path = path or _vocabulary("word_bpe_49k.json")
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", "n_tokens", F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document cut and reordered for infilling: its form, its cuts, digests of the output and of the text rebuilt from it."""
+    from millrace.llm import infill
+
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = infill.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
@@ -106,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_compression_bands": op9_compression_bands,
     "op10_licences": op10_licences,
+    "op12_bpe": op12_bpe,
+    "op13_infill": op13_infill,
 }
 
 _RECORD = """SELECT CAST(coalesce(floor(page_id / 1024), -1) AS BIGINT) AS file, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
@@ -131,4 +153,13 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q
       FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_infill": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT doc_id, t, l, len(l) AS n, list_transform(range(4), lambda i: CAST('0x' || substring(h, 1 + 8 * i, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT *, coalesce(array_to_string(l[1:p], ''), '') AS pre, coalesce(array_to_string(l[p + 1:q], ''), '') AS mid, coalesce(array_to_string(l[q + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM x""",
 }
