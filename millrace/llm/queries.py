@@ -95,6 +95,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_lines", F.size("found").alias("n_predicted"), F.size(sure).alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), "found")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten best documents; null texts match nothing, empty tables give an empty one."""
+    from millrace.llm.lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Each document encoded and decoded: counts and digests; null texts are empty, repeated rows and null ids rows of their own."""
     from millrace.llm import bpe
@@ -126,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_compression_bands": op9_compression_bands,
     "op10_licences": op10_licences,
+    "op11_lexical": op11_lexical,
     "op12_bpe": op12_bpe,
     "op13_infill": op13_infill,
 }
@@ -141,6 +149,9 @@ _DIFFER = """SELECT {0} AS level, coalesce(a.file, b.file) AS file, coalesce(a.i
  FROM a{0} a FULL JOIN b{0} b ON a.file = b.file AND a.idx = b.idx
  WHERE a.s IS DISTINCT FROM b.s OR a.e IS DISTINCT FROM b.e OR a.h IS DISTINCT FROM b.h"""
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op3_warc_fixity": "WITH ra AS (" + _RECORD + " FROM (SELECT page_id, url, html AS body FROM pages)), rb AS (" + _RECORD
     + " FROM (SELECT page_id, url, CASE WHEN page_id * 7919 % 101 = 7 THEN translate(html, 'e', '3') ELSE html END AS body FROM pages)), a0 AS (" + _LEAF.format("ra")
@@ -153,6 +164,16 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q
       FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_lexical": f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+l AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id), s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM l),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM c GROUP BY t), s),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, c.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+ FROM i JOIN c USING (t) JOIN w USING (t) JOIN l ON l.doc_id = c.doc_id, s GROUP BY item_id, c.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
     "op13_infill": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 h AS (SELECT doc_id, t, l, len(l) AS n, list_transform(range(4), lambda i: CAST('0x' || substring(h, 1 + 8 * i, 8) AS BIGINT)) AS h FROM d),
