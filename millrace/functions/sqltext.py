@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.ddl import schema_names
+
 STATS = ("select", "join", "(select", "group by", "order by", "limit")
 
 
@@ -34,11 +36,15 @@ SQL_FAILURES = (("sql_syntax", ("syntax error", "parse error", "near")), ("sql_s
 
 
 def first_of(c: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], other: str) -> Column:
-    """The name of the first rule of which the text holds a mark."""
-    found = F.lit(other)
-    for name, marks in reversed(rules):
-        found = F.when(F.exists(F.array(*map(F.lit, marks)), lambda m: c.contains(m)), name).otherwise(found)
-    return found
+    """The name of the first rule of which the text holds a mark; one pattern a rule, the text computed once."""
+
+    def first(text: Column) -> Column:
+        found = F.lit(other)
+        for name, marks in reversed(rules):
+            found = F.when(text.rlike("|".join(f"\\Q{m}\\E" for m in marks)), name).otherwise(found)
+        return found
+
+    return _once(c, first)
 
 
 def intent(c: Column) -> Column:
@@ -47,8 +53,8 @@ def intent(c: Column) -> Column:
 
 
 def aligned(asked: Column, op: Column) -> Column:
-    """Whether a statement's operation is what was asked for."""
-    return F.when(asked == "DDL", op.isin("CREATE", "ALTER", "DROP")).otherwise(asked == op)
+    """Whether a statement's operation is what was asked for; WITH selects."""
+    return F.when(asked == "DDL", op.isin("CREATE", "ALTER", "DROP")).when(asked == "SELECT", op.isin("SELECT", "WITH")).otherwise(asked == op)
 
 
 def failure_stage(c: Column) -> Column:
@@ -71,12 +77,14 @@ AGGREGATES = ("count", "sum", "avg", "min", "max", "group_concat", "total")
 
 
 def _flat(c: Column) -> Column:
-    """As long as the text, with dots for what stands in parentheses."""
+    """As long as the text, with dots for what stands in parentheses; cut at parentheses, so that a step takes a whole piece."""
     def step(a: Column, x: Column) -> Column:
         depth = F.when(x == ")", F.greatest(a["d"] - 1, F.lit(0))).otherwise(a["d"])
-        return F.struct(F.when(x == "(", depth + 1).otherwise(depth).alias("d"), F.concat(a["s"], F.when(depth > 0, ".").otherwise(x)).alias("s"))
+        shown = F.when(depth > 0, F.repeat(F.lit("."), F.length(x))).otherwise(x)
+        return F.struct(F.when(x == "(", depth + 1).otherwise(depth).alias("d"), F.concat(a["s"], F.array(shown)).alias("s"))
 
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), step, lambda a: a["s"])
+    none = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("s"))
+    return F.aggregate(F.regexp_extract_all(c, F.lit(r"([()]|[^()]+)"), F.lit(1)), none, step, lambda a: F.array_join(a["s"], ""))
 
 
 def _listed(c: Column, flat: Column, before: str, after: str) -> Column:
@@ -114,24 +122,10 @@ def tables(ddl: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(ddl, F.lit(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?(\w+)"), F.lit(1)), F.lower)))
 
 
-def schema_names(ddl: Column) -> Column:
-    """struct<tables, columns>: names that lines of a schema define, as written, distinct and sorted; 20 tables and 40 columns at most, as in prompts.
-
-    A column is a line of a name (of several words, joined by underscores) and a type. Keys and constraints are none.
-    """
-    s = F.coalesce(ddl, F.lit(""))
-    named = F.regexp_extract_all(s, F.lit(r'(?i)create\s+table\s+"?([a-z_]\w*)"?'), F.lit(1))
-    lines = F.transform(F.split(s, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(F.trim(x), ",+$", ""))
-    other = r"(?i)^(?:create table|primary key|foreign key|constraint|\);)"
-    column = F.transform(F.filter(lines, lambda x: ~x.rlike(other)), lambda x: F.replace(F.trim(F.regexp_extract(x, r'(?i)^\s*"?([a-z_][\w\s]*)"?\s+[a-z]+', 1)), F.lit(" "), F.lit("_")))
-    ordered = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda x: x != "")))
-    return F.struct(F.slice(ordered(named), 1, 20).alias("tables"), F.slice(ordered(column), 1, 40).alias("columns"))
-
-
 def evidence(question: Column, ddl: Column, error: Column) -> Column:
-    """What a prompt says of the year meant, of the schema and of the last error; empty if nothing."""
+    """What a prompt says of the year meant, of the schema and of the last error; empty if nothing. The sentences are fixed values."""
     years = F.regexp_extract(F.coalesce(question, F.lit("")), r"(?i)last\s+(\d+)\s+years?", 1)
-    names = schema_names(ddl)
+    names = schema_names(ddl, 20, 40)
     listed = lambda what, a: F.when(F.size(a) > 0, F.concat(F.lit(what), F.array_join(a, ", "), F.lit(".")))
     parts = (
         F.when(years != "", F.concat(F.lit("Current year is 2023, so last "), years, F.lit(" years means [2023-"), years, F.lit("+1, 2023]."))),
@@ -162,16 +156,26 @@ def sql_failure_stage(c: Column) -> Column:
     return first_of(F.lower(F.coalesce(c, F.lit(""))), SQL_FAILURES, "other")
 
 
-#: What code statistics count, by name: patterns over whole lines or words.
-CODE_COUNTS = {"defs": r"(?m)^[ \t]*(?:async )?def ", "classes": r"(?m)^[ \t]*class ", "loops": r"\b(?:for|while)\b", "branches": r"\b(?:if|elif)\b", "tries": r"\btry\b"}
+# What code statistics count as tokens and definitions, and the words that they count by name.
+CODE_WORD = r"[\p{L}\p{N}_]+"
+CODE_TOKEN = CODE_WORD + r"|[^\s\x1c-\x1f\x85\p{Z}]"
+CODE_DEF = r"(?m)^\s*def\s+\w+\("
+CODE_COUNTS = {"loops": ("for", "while"), "branches": ("if", "elif", "case"), "tries": ("try", "except", "finally")}
 
 
 def code_statistics(c: Column) -> Column:
-    """struct of lines, tokens, the counts of ``CODE_COUNTS`` and a cyclomatic number of one more than loops, branches and tries."""
-    n = {k: F.size(F.regexp_extract_all(c, F.lit(f"({p})"), F.lit(1))).cast("long") for k, p in CODE_COUNTS.items()}
-    lines = (F.length(c) - F.length(F.replace(c, F.lit("\n"))) + 1).cast("long")
-    tokens = F.size(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))).cast("long")
-    return F.struct(lines.alias("lines"), tokens.alias("tokens"), *[v.alias(k) for k, v in n.items()], (n["loops"] + n["branches"] + n["tries"] + 1).alias("cyclomatic"))
+    """struct of lines, tokens, defs, the counts of ``CODE_COUNTS`` and a cyclomatic number of one more than those together; null counts as empty, without a line."""
+
+    def counted(text: Column) -> Column:
+        def by_name(tokens: Column) -> Column:
+            n = {k: F.size(F.filter(tokens, lambda w: w.isin(*words))).cast("long") for k, words in CODE_COUNTS.items()}  # noqa: B023
+            defs = F.size(F.regexp_extract_all(text, F.lit(f"({CODE_DEF})"), F.lit(1))).cast("long")
+            lines = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+            return F.struct(lines.alias("lines"), F.size(tokens).cast("long").alias("tokens"), defs.alias("defs"), *[v.alias(k) for k, v in n.items()], (n["loops"] + n["branches"] + n["tries"] + 1).alias("cyclomatic"))
+
+        return _once(F.regexp_extract_all(text, F.lit(f"({CODE_TOKEN})"), F.lit(1)), by_name)
+
+    return _once(F.coalesce(c, F.lit("")), counted)
 
 
 def progress(c: Column) -> Column:

@@ -40,10 +40,46 @@ def missing_fields(df: DataFrame, fields: tuple[str, ...], *, id_col: str) -> Da
 
 
 def turn_errors(turns: Column) -> Column:
-    """What a trainer rejects in array<struct<from, value>>, with the turn's place from 0; empty if nothing."""
+    """What a trainer rejects in array<struct<from, value>>, with the turn's place from 0; empty if nothing. A null is a missing key, a blank value is none."""
     def told(x: Column, i: Column) -> Column:
         at = F.concat(F.lit("turn "), i.cast("string"), F.lit(": "))
         speaker = F.when(x["from"].isNull(), F.concat(at, F.lit("no from"))).when(~x["from"].isin(*SPEAKERS), F.concat(at, F.lit("from is "), x["from"]))
-        return F.array_compact(F.array(speaker, F.when(~filled(x["value"]), F.concat(at, F.lit("no value")))))
+        return F.array_compact(F.array(speaker, F.when(x["value"].isNull(), F.concat(at, F.lit("no value")))))
 
-    return F.when(turns.isNull() | (F.size(turns) == 0), F.array(F.lit("no turns"))).otherwise(F.flatten(F.transform(turns, told)))
+    return F.flatten(F.transform(turns, told))
+
+
+def _field(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def sample_form(df: DataFrame) -> Column:
+    """``conversation`` where a row has conversations, ``alpaca`` where it has instruction and output, else ``unknown``; null and absent are the same."""
+    instructed = _field(df, "instruction").isNotNull() & _field(df, "output").isNotNull()
+    return F.when(_field(df, "conversations").isNotNull(), "conversation").when(instructed, "alpaca").otherwise("unknown")
+
+
+def sample_errors(df: DataFrame) -> Column:
+    """What a trainer rejects in a row of either form, array<string>; empty if nothing."""
+    text = lambda c: F.when(_field(df, c).isNull(), f"no {c}") if dict(df.dtypes).get(c, "string") == "string" else F.lit(f"{c} is no text")
+    instructed = F.array_compact(F.array(text("instruction"), text("output")))
+    other = F.when(_field(df, "instruction").isNotNull(), instructed).otherwise(F.array(F.lit("neither conversations nor instruction")))
+    if "conversations" not in df.columns:
+        return other
+    if not dict(df.dtypes)["conversations"].startswith("array<struct"):
+        return F.when(F.col("conversations").isNotNull(), F.array(F.lit("conversations is no list of turns"))).otherwise(other)
+    return F.when(F.col("conversations").isNotNull(), turn_errors(F.col("conversations"))).otherwise(other)
+
+
+def form_report(df: DataFrame, *, order: str, first: int = 10) -> DataFrame:
+    """level, message: what the forms of the first rows say of the whole: forms that are mixed (a warning), or unknown (an error)."""
+    forms = df.select(sample_form(df).alias("form"), F.col(order).alias("_o")).orderBy("_o").limit(first).agg(F.collect_set("form").alias("f"))
+    mixed = F.when(F.size("f") > 1, F.struct(F.lit("warning").alias("level"), F.lit("several forms").alias("message")))
+    unknown = F.when(F.array_contains("f", "unknown"), F.struct(F.lit("error").alias("level"), F.lit("a form that is not supported").alias("message")))
+    return forms.select(F.explode(F.array_compact(F.array(mixed, unknown))).alias("m")).select("m.level", "m.message")
+
+
+def trainer_report(df: DataFrame, *, id_col: str, order: str) -> DataFrame:
+    """level, id (null for the whole), message: the forms' report and one row to each error of each sample."""
+    each = df.select(F.lit("error").alias("level"), F.col(id_col).cast("string").alias("id"), F.explode(sample_errors(df)).alias("message"))
+    return form_report(df, order=order).select("level", F.lit(None).cast("string").alias("id"), "message").unionByName(each)

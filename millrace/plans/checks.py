@@ -51,7 +51,7 @@ def missing_fields(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH e AS (SELECT conv_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM ({_SHARE})), k AS (SELECT conv_id, i, x.who AS who, x.content AS content FROM e),
 a AS (SELECT conv_id, i, 0 AS n, 'turn ' || i || ': from is ' || who AS msg FROM k WHERE who NOT IN ('human', 'gpt', 'system')
  UNION ALL SELECT conv_id, i, 0, 'turn ' || i || ': no from' FROM k WHERE who IS NULL
- UNION ALL SELECT conv_id, i, 1, 'turn ' || i || ': no value' FROM k WHERE NOT (length(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g'))) > 0))
+ UNION ALL SELECT conv_id, i, 1, 'turn ' || i || ': no value' FROM k WHERE content IS NULL)
 SELECT c.conv_id, coalesce(string_agg(msg, '; ' ORDER BY i, n), '') AS errors FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a USING (conv_id) GROUP BY c.conv_id""")
 def trainer_errors(spark: SparkSession, d: str) -> DataFrame:
     return _share(spark, d).select("conv_id", F.array_join(validators.turn_errors(F.col("s")), "; ").alias("errors"))

@@ -72,12 +72,13 @@ def intents(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", sqltext.intent(F.col("text")).alias("intent"))
 
 
-@query("""SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '([A-Za-z0-9_]+)', 1)) AS BIGINT) AS tokens,
- CAST(len(regexp_extract_all(text, '\\b(for|while)\\b', 1)) AS BIGINT) AS loops, CAST(len(regexp_extract_all(text, '\\b(if|elif)\\b', 1)) AS BIGINT) AS branches,
- CAST(len(regexp_extract_all(text, '\\b(for|while|if|elif|try)\\b', 1)) + 1 AS BIGINT) AS cyclomatic FROM documents WHERE text IS NOT NULL""")
+@query("""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\s\\x1c-\\x1f\\x85\\p{Z}]') AS w FROM documents),
+n AS (SELECT doc_id, text, w, CAST(len(list_filter(w, lambda x: x IN ('for', 'while'))) AS BIGINT) AS loops, CAST(len(list_filter(w, lambda x: x IN ('if', 'elif', 'case'))) AS BIGINT) AS branches,
+ CAST(len(list_filter(w, lambda x: x IN ('try', 'except', 'finally'))) AS BIGINT) AS tries FROM w)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) END AS lines, CAST(len(w) AS BIGINT) AS tokens, loops, branches, tries, loops + branches + tries + 1 AS cyclomatic FROM n""")
 def code_statistics(spark: SparkSession, d: str) -> DataFrame:
-    made = t(spark, d, "documents").where("text is not null").select("doc_id", sqltext.code_statistics(F.col("text")).alias("s"))
-    return made.select("doc_id", "s.lines", "s.tokens", "s.loops", "s.branches", "s.cyclomatic")
+    made = t(spark, d, "documents").select("doc_id", sqltext.code_statistics(F.col("text")).alias("s"))
+    return made.select("doc_id", "s.lines", "s.tokens", "s.loops", "s.branches", "s.tries", "s.cyclomatic")
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'o_orderpriority' WHEN 'O' THEN 'lower(o_clerk)' ELSE '' END AS missing FROM orders""")

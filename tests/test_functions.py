@@ -67,7 +67,14 @@ def test_validators(spark):
     rows = [([("human", "q"), ("gpt", "a")],), ([("human", "q")],), ([("human", "q"), ("gpt", " ")],), ([("human", "q"), ("gpt", "a"), ("bot", "b")],), ([],), (None,)]
     df = spark.createDataFrame(rows, f"s {turns}")
     assert [r[0] for r in df.select(validators.valid_sharegpt(F.col("s"))).collect()] == [True, False, False, True, False, False]
-    assert [r[0] for r in df.select(validators.turn_errors(F.col("s"))).collect()] == [[], [], ["turn 1: no value"], ["turn 2: from is bot"], ["no turns"], ["no turns"]]
+    assert [r[0] for r in df.select(validators.turn_errors(F.col("s"))).collect()] == [[], [], [], ["turn 2: from is bot"], [], None]
+    assert [r[0] for r in spark.createDataFrame([([(None, "a"), ("gpt", None)],)], f"s {turns}").select(validators.turn_errors(F.col("s"))).collect()] == [["turn 0: no from", "turn 1: no value"]]
+    chats = df.withColumnRenamed("s", "conversations").withColumns({"instruction": F.lit("i"), "output": F.lit(None).cast("string"), "n": F.monotonically_increasing_id()})
+    assert [r[0] for r in chats.orderBy("n").select(validators.sample_errors(chats)).collect()] == [[], [], [], ["turn 2: from is bot"], [], ["no output"]]
+    assert sorted(r.message for r in validators.form_report(chats, order="n").collect()) == ["a form that is not supported", "several forms"]
+    alpaca = spark.createDataFrame([(1, "a", "b"), (2, None, "b")], "n int, instruction string, output string")
+    assert [tuple(r) for r in validators.trainer_report(alpaca.where("n = 1"), id_col="n", order="n").collect()] == []
+    assert [r[0] for r in alpaca.orderBy("n").select(validators.sample_errors(alpaca)).collect()] == [[], ["neither conversations nor instruction"]]
     m = spark.createDataFrame([([("system", "s"), ("user", "q"), ("assistant", "a")],), ([("user", "q"), ("assistant", "a")],), ([("system", ""), ("user", "q"), ("assistant", "a")],), ([("system", "s"), ("user", "q"), ("assistant", "a"), ("tool", "t")],), (None,)], "m array<struct<role: string, content: string>>")
     assert [r[0] for r in m.select(validators.valid_rewrite(F.col("m"))).collect()] == [True, False, False, False, False]
     fields = spark.createDataFrame([(1, None), (2, "x")], "id long, a string")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from millrace.functions import ddl as schemas
 from millrace.functions import problems, sqltext
 from millrace.operators import reports
 
@@ -22,7 +23,7 @@ def test_problems(spark):
 
 def test_schema_names_and_evidence(spark):
     ddl = 'create table Zoo (\r\n  "first name" TEXT,\n  b INT,\n  FOREIGN KEY (b)\n);\nCREATE TABLE "a" (\n  b INT\n);'
-    got = one(spark, sqltext.schema_names, ddl, "", None)
+    got = one(spark, schemas.schema_names, ddl, "", None)
     assert [tuple(r) for r in got] == [(["Zoo", "a"], ["b", "first_name"]), ([], []), ([], [])]
     assert one(spark, lambda c: sqltext.evidence(c, F.lit(""), F.lit("")), "last 3 YEARS", "x", None) == ["Evidence: Current year is 2023, so last 3 years means [2023-3+1, 2023].", "", ""]
 
