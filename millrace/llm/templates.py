@@ -2,8 +2,12 @@
 
 A line is parsed down a tree of fixed depth: by its number of tokens, then by
 its leading tokens, where a token with a digit counts as a variable field.
-In a leaf, the tokens that the lines of many documents have at a position are
-the template's constants and the rest are generalised to variable fields. Long
+In a leaf, the tokens that many documents have at a position are the template's
+constants and the rest are generalised to variable fields. Many is a share of
+the leaf's documents, and every share of a half, a quarter and so on is tried,
+since a leaf may hold one template or several: a field's value has a smaller
+share than its template's constants at one of them, however many documents
+have that value. Long
 lines, which recur from two documents on, are also one template if they differ
 within one of four runs of tokens only. A template that recurs across
 documents is dropped from all but the first of them.
@@ -32,7 +36,8 @@ class Tree:
     """depth: leading tokens that lead to a leaf. long_tokens: from so many tokens on a line is long.
     docs_short, docs_long: documents in which a short or long template recurs. A short line is
     repeated by chance soon; a long one is not. constant: least share of constants in a
-    template, for a line that is generalised beyond its digits. runs: into so many runs a
+    template, for a line that is generalised beyond its digits, of all tokens or, by shares, of
+    those behind the leading ones. shares: so many halvings of a leaf's documents. runs: into so many runs a
     long line's tokens behind the leading ones are cut, of which one may vary."""
 
     depth: int = 3
@@ -40,6 +45,7 @@ class Tree:
     docs_short: int = 10
     docs_long: int = 2
     constant: float = 0.6
+    shares: int = 8
     runs: int = 4
 
 
@@ -113,11 +119,11 @@ def recurring(docs: DataFrame, lines: DataFrame, tree: Tree) -> DataFrame:
     # Variable fields: only a leaf with two kinds of lines and documents enough can hold such a template.
     leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("docs").alias("_docs"), F.min("n").alias("n")).where((F.col("_kinds") > 1) & (F.col("_docs") >= least))
     n_kinds = kinds.count()
-    some = checkpoint(join_hot(kinds, leaves.select("leaf", "_kinds"), "leaf", rows="_kinds", total=n_kinds))
+    some = checkpoint(join_hot(kinds, leaves.select("leaf", "_kinds", F.col("_docs").alias("all_docs")), "leaf", rows="_kinds", total=n_kinds))
     if some.isEmpty():
         return exact
     read = _tokens(docs, some).groupBy("template").agg(F.first("tokens").alias("tokens"))
-    known = checkpoint(some.join(read, "template").select("template", "leaf", "docs", "rows", "n", "tokens"))
+    known = checkpoint(some.join(read, "template").select("template", "leaf", "docs", "all_docs", "rows", "n", "tokens"))
     forms = checkpoint(_voted(known, tree).unionByName(_cut(known, tree)))
     # Documents of the members of a form, added up, are no fewer than the form's.
     likely = forms.groupBy("form").agg(F.sum("docs").alias("_docs"), F.count(F.lit(1)).alias("_kinds"), F.min("least").alias("least")).where("_docs >= least")
@@ -131,13 +137,20 @@ def recurring(docs: DataFrame, lines: DataFrame, tree: Tree) -> DataFrame:
 
 
 def _voted(known: DataFrame, tree: Tree) -> DataFrame:
-    """template, docs, rows, form, least: lines with the same constants, each in ``docs_short`` documents of the leaf or more."""
-    wide = checkpoint(known.select("leaf", "template", "docs", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD.decode()).select("template", "docs", F.xxhash64("leaf", "at", "token").alias("place")))
-    places = wide.groupBy("place").agg(F.sum("docs").alias("_d"), F.count(F.lit(1)).alias("_rows")).where(f"_d >= {tree.docs_short}").select("place", "_rows")
-    kept = join_hot(wide.select("template", "place"), places, "place", rows="_rows", total=wide.count())
-    forms = kept.groupBy("template").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor("place").alias("x1"), F.bit_xor(F.xxhash64("place")).alias("x2"))
-    made = known.select("template", "leaf", "docs", "rows", "n").join(forms, "template").where(F.col("constants") >= tree.constant * F.col("n"))
-    return made.select("template", "docs", "rows", F.xxhash64("leaf", "x1", "x2").alias("form"), F.lit(tree.docs_short).alias("least"))
+    """template, docs, rows, form, least: lines with the same constants, each in ``docs_short`` documents of the leaf or more; at each share, and without one."""
+    parted = known.select("leaf", "template", "docs", "all_docs", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD.decode())
+    wide = checkpoint(parted.select("template", "docs", "all_docs", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("at") >= tree.depth).alias("behind")))
+    # The first share, of 1/2, 1/4, ..., that the place's documents have of the leaf's; beyond them all, none.
+    share = F.least(F.lit(tree.shares), F.greatest(F.lit(0), F.ceil(F.log2(F.max("all_docs") / F.sum("docs")) - 1e-9) - 1)).cast("int")
+    places = wide.groupBy("place").agg(F.sum("docs").alias("_d"), F.count(F.lit(1)).alias("_rows"), share.alias("share")).where(f"_d >= {tree.docs_short}").select("place", "_rows", "share")
+    kept = join_hot(wide.select("template", "place", "behind"), places, "place", rows="_rows", total=wide.count())
+    own = lambda c, s: F.when(F.col("share") <= s, c)
+    sums = [x for s in range(tree.shares + 1) for x in (F.count(own(F.lit(1), s)).alias(f"c{s}"), F.count(own(F.when(F.col("behind"), 1), s)).alias(f"b{s}"), F.bit_xor(own(F.col("place"), s)).alias(f"x{s}"), F.bit_xor(own(F.xxhash64("place"), s)).alias(f"y{s}"))]
+    forms = kept.groupBy("template").agg(*sums)
+    enough = lambda s: F.col(f"c{s}") >= tree.constant * F.col("n") if s == tree.shares else (F.col("n") > tree.depth) & (F.col(f"b{s}") >= tree.constant * (F.col("n") - tree.depth))
+    named = F.array_compact(F.array(*[F.when(enough(s), F.xxhash64("leaf", f"x{s}", f"y{s}")) for s in range(tree.shares + 1)]))
+    made = known.select("template", "leaf", "docs", "rows", "n").join(forms, "template")
+    return made.select("template", "docs", "rows", F.explode(F.array_distinct(named)).alias("form"), F.lit(tree.docs_short).alias("least"))
 
 
 def _cut(known: DataFrame, tree: Tree) -> DataFrame:

@@ -456,6 +456,31 @@ def test_line_templates_count_documents(spark):
     assert {(r.doc_id, r.n_dropped) for r in drop_templates(tie).collect()} == {(4, 0), (5, 1)}
 
 
+def test_line_templates_with_common_field_values(spark):
+    """However many documents have each value of a field, a template leaves one line; prose of the same shape stays."""
+    from millrace.llm.templates import drop_templates
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    names, towns, prose = [word() for _ in range(100)], [word() for _ in range(100)], [word() for _ in range(400)]
+    of = {
+        "ten": [f"this article was written by {names[i % 10]} from {towns[i // 10]} today" for i in range(100)],
+        "hundred": [f"that entry here stands under {names[i % 100]} since {towns[i // 100]} closed" for i in range(10_000)],
+        "one": [f"the shop offers since long ago only {word()}{i} and {names[0]} to friends" for i in range(2000)],
+        "two in a leaf": [f"our page shows {('all of', 'none for')[i % 2]} {names[i % 7]} {('beside the road', 'under a bridge')[i // 7 % 2]}" for i in range(300)],
+    }
+    rows = [(n, line) for n, line in enumerate(x for lines in of.values() for x in lines)]
+    clean = [" ".join(["we think that", *rng.choices(prose, k=6)]) for _ in range(3000)]
+    rows += [(100_000 + i, x) for i, x in enumerate(clean)]
+    got = {r.doc_id: r.n_dropped for r in drop_templates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    at = 0
+    for kind, lines in of.items():
+        left = [d for d in range(at, at + len(lines)) if not got[d]]
+        assert len(left) <= (4 if kind == "two in a leaf" else 1), (kind, len(left))
+        at += len(lines)
+    assert not any(got[100_000 + i] for i in range(3000))
+
+
 def test_line_templates_against_brute_force(spark):
     from millrace.llm.templates import FIELD, Tree, drop_templates, parse
 
@@ -484,9 +509,14 @@ def test_line_templates_against_brute_force(spark):
     groups = {}
     for t, d in docs.items():
         groups.setdefault((t, least(t)), []).append(t)
-        fixed = tuple((p, x) for p, x in enumerate(t) if x != FIELD and at[leaf(t), p, x] >= tree.docs_short)
-        if len(fixed) >= tree.constant * len(t):
-            groups.setdefault((leaf(t), fixed, tree.docs_short), []).append(t)
+        everyone = sum(len(docs[o]) for o in docs if leaf(o) == leaf(t))
+        for halved in range(1, tree.shares + 2):
+            least_docs = max(tree.docs_short, everyone / 2**halved if halved <= tree.shares else 0)
+            fixed = tuple((p, x) for p, x in enumerate(t) if x != FIELD and at[leaf(t), p, x] >= least_docs)
+            behind = sum(p >= tree.depth for p, _ in fixed)
+            ok = behind >= tree.constant * (len(t) - tree.depth) and len(t) > tree.depth if halved <= tree.shares else len(fixed) >= tree.constant * len(t)
+            if ok and t not in groups.setdefault((leaf(t), fixed, tree.docs_short), []):
+                groups[leaf(t), fixed, tree.docs_short].append(t)
         if len(t) >= tree.long_tokens:
             for j in range(tree.runs):
                 a, b = (tree.depth + (len(t) - tree.depth) * x // tree.runs for x in (j, j + 1))
