@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import answers, ddl, mathequal
+from millrace.functions import answers, ddl, listings, mathequal
 from millrace.operators import chain, dedup, edit_rate, positions, records, stems, validators
 from millrace.plans.catalog import _FOLD, query, t
 
@@ -142,3 +142,15 @@ def trainer_samples(spark: SparkSession, d: str) -> DataFrame:
     """Documents as instructions by source; every seventh lacks its instruction."""
     rows = t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("instruction"), F.col("text").alias("output"))
     return validators.trainer_report(rows, id_col="doc_id", order="doc_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), w AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM s),
+b AS (SELECT doc_id, CASE WHEN lower(trim(coalesce(l[1], ''))) LIKE 'file list%' THEN l[2:] ELSE l END AS l, len(l) AS n FROM w),
+f AS (SELECT doc_id, l, n, 0 AS i, 0 AS chars, 0 AS held, 0 AS parts FROM b
+ UNION ALL SELECT doc_id, l, n, i + 1, CASE WHEN held = 0 OR chars + length(l[i + 1]) + 1 > 2000 OR held >= 20 THEN 0 ELSE chars END + length(l[i + 1]) + 1,
+  CASE WHEN held = 0 OR chars + length(l[i + 1]) + 1 > 2000 OR held >= 20 THEN 1 ELSE held + 1 END, parts + CASE WHEN held = 0 OR chars + length(l[i + 1]) + 1 > 2000 OR held >= 20 THEN 1 ELSE 0 END FROM f WHERE i < len(l))
+SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(parts, 1) END AS BIGINT) AS parts FROM f WHERE i = len(l)""")
+def listing_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Into how many parts each document goes as a listing of its lines; the parts' texts are tested against a plain fold."""
+    parts = listings.listing_parts(F.col("text"), max_chars=2000, max_lines=20)
+    return t(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("parts"))

@@ -89,11 +89,11 @@ def strict_grouping(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", F.array_join(sqltext.ungrouped(sql), ",").alias("missing"))
 
 
-@query("""SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
- len(list_distinct(regexp_extract_all(html, '(https?://[^\\s)\\]>"'']+)', 1))) AS n_urls FROM pages WHERE html IS NOT NULL AND url IS NOT NULL AND NOT regexp_matches(html, '\\]\\(')""")
+@query("""SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
+ CAST(len(list_distinct(list_concat(regexp_extract_all(coalesce(html, ''), '\\]\\(\\s*([^)#\\s][^)\\s]*)', 1), regexp_extract_all(coalesce(html, ''), '(https?://[^\\s)\\]>"'']+)', 1)))) AS BIGINT) AS n_urls FROM pages""")
 def page_urls(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "pages").where(F.col("html").isNotNull() & F.col("url").isNotNull() & ~F.col("html").contains("]("))
-    return p.select("page_id", F.coalesce(web.host(F.col("url")), F.lit("")).alias("host"), F.size(web.links(F.col("html"), 1_000_000)).cast("long").alias("n_urls"))
+    found = web.links(F.coalesce("html", F.lit("")), 1_000_000)
+    return t(spark, d, "pages").select("page_id", F.coalesce(web.host(F.col("url")), F.lit("")).alias("host"), F.size(found).cast("long").alias("n_urls"))
 
 
 @query(f"""WITH f AS ({_FOLD}) SELECT conv_id, array_to_string(list_filter(list_transform(m, lambda x: x.content), lambda x: x <> ''), chr(10)) AS contents, coalesce(m[1].role, '') AS first_role,
