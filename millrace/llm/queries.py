@@ -28,6 +28,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every document's pieces and their places; null texts are the end id alone, repeated rows and null ids pieces of their own."""
     from millrace.llm import packing
 
     parts = packing.pieces(table(spark, sf_dir, "documents"), path or _vocabulary("word_bpe_49k.json"), keep_ids=False).drop("ids")
@@ -46,6 +47,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every fiftieth; null vectors and those that hold null or no finite number take no part, ties go to the smaller id."""
     from millrace.llm.covertree import top_k
 
     vectors = table(spark, sf_dir, "embeddings")
@@ -53,12 +55,14 @@ def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components; null, empty and blank texts have fingerprint zero and are linked like others, repeated rows are rows of their own."""
     from millrace.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and spans, and all spans; null and empty texts have none, repeated rows are found alike, whole texts are read."""
     from millrace.llm import pii
 
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -74,6 +78,7 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores learnt from four fifths of the labels; empty texts get the rate of labelled texts without words, equal cosines go to the smaller id."""
     from millrace.llm.toxicity import toxicity
 
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -82,12 +87,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict; null texts have no word and fail the base rule, repeated rows are judged alike, an empty table gives an empty one."""
     from millrace.llm.quality import compression_bands
 
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices by family; null and empty texts have no line with one, repeated rows are scanned alike, an empty table gives an empty one."""
     from millrace.llm.licences import scan_licences
 
     scanned = scan_licences(table(spark, sf_dir, "documents"))
