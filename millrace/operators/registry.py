@@ -74,6 +74,32 @@ def evaluate(df: DataFrame, names: tuple[str, ...], *, pred: str, refs: str) ->
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k)["score"].alias("score"), F.col(k)["n"].alias("n")) for k in keys])).alias("x")).select("x.*")
 
 
+#: Data sets and the metrics that they are scored by, in lower case.
+DATASETS: dict[str, tuple[str, ...]] = {}
+
+
+def register_dataset(name: str, metrics: tuple[str, ...]) -> None:
+    """From now on the data set, in any case, is scored by these; an unknown metric is an error here and not later."""
+    DATASETS[name.strip().lower()] = tuple(map(resolve, metrics))
+
+
+def evaluate_datasets(df: DataFrame, *, dataset: str, pred: str, refs: str, default: tuple[str, ...] = ()) -> DataFrame:
+    """dataset, metric, score, n: each data set's rows by its own metrics, or by ``default`` where it has none, in one pass over all.
+
+    Names are compared in lower case, trimmed; a row without one is not scored. A metric is
+    computed only in rows of data sets that ask for it.
+    """
+    fallback = tuple(map(resolve, default))
+    name = F.lower(F.trim(F.col(dataset)))
+    asks = {k: name.isin(*[d for d, ms in DATASETS.items() if k in ms]) | (F.lit(k in fallback) & ~name.isin(*DATASETS)) for k in METRICS if k in fallback or any(k in ms for ms in DATASETS.values())}
+    if not asks:
+        raise ValueError("no data set has metrics and there is no default")
+    values = df.where(name.isNotNull()).select(name.alias("dataset"), *[F.when(wanted, METRICS[k][0](F.col(pred), F.col(refs)).cast("double")).alias(k) for k, wanted in asks.items()])
+    means = values.groupBy("dataset").agg(*[F.struct(F.avg(k).alias("score"), F.count(k).alias("n")).alias(k) for k in asks])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k)["score"].alias("score"), F.col(k)["n"].alias("n")) for k in asks]))
+    return means.select("dataset", each.alias("x")).select("dataset", "x.*").where("n > 0")
+
+
 def mcc(df: DataFrame, *, pred_col: str, label_col: str) -> DataFrame:
     """Matthews' correlation for any number of classes, from counts of the pairs; 0 where it is undefined. Rows with a null are left out."""
     pairs = df.where(F.col(pred_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(pred_col).cast("string").alias("p"), F.col(label_col).cast("string").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))

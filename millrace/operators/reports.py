@@ -86,3 +86,12 @@ def find_benches(benches: DataFrame, named: tuple[str, ...], tags: tuple[str, ..
     both = marked.crossJoin(F.broadcast(chosen)) if words else marked.withColumn("_all", none)
     found = F.when(F.array_contains("_all", F.col(name)), "specified").when(F.col("_tag"), "recommended")
     return both.select(name, found.alias("found")).where("found is not null").distinct()
+
+
+def add_benches(benches: DataFrame, new: DataFrame, *, name: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(benches with what is new, what was refused): a new bench needs a name that none has in any case; of several with one name the first is taken."""
+    key = F.lower(F.col(name))
+    ranked = new.withColumn("_key", key).withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(order)))
+    known = benches.select(key.alias("_key"), F.lit(True).alias("_known")).distinct()
+    told = ranked.join(known, "_key", "left").withColumn("_ok", F.col("_known").isNull() & (F.col("_n") == 1) & F.coalesce(F.trim(name) != "", F.lit(False)))
+    return benches.unionByName(told.where("_ok").select(*benches.columns)), told.where("not _ok").select(*new.columns)

@@ -19,6 +19,15 @@ def quotas(df: DataFrame, *, name_col: str, budget: int) -> DataFrame:
     return counted.select(name_col, (F.floor(F.lit(budget) / F.col("_n")) + (pos < F.lit(budget) % F.col("_n")).cast("int")).cast("long").alias("quota"))
 
 
+def nested_quotas(df: DataFrame, *, group_col: str, name_col: str, budget: int) -> DataFrame:
+    """group, name, quota: the groups' shares of a budget, each dealt to the group's names in turn; the rest goes to the first by name."""
+    names = df.select(group_col, name_col).distinct()
+    share = quotas(names, name_col=group_col, budget=budget).withColumnRenamed("quota", "_q")
+    within = W.partitionBy(group_col)
+    placed = names.join(share, group_col).withColumn("_n", F.count(F.lit(1)).over(within)).withColumn("_at", F.row_number().over(within.orderBy(name_col)) - 1)
+    return placed.select(group_col, name_col, (F.floor(F.col("_q") / F.col("_n")) + (F.col("_at") < F.col("_q") % F.col("_n")).cast("int")).cast("long").alias("quota"))
+
+
 def sample_per_group(df: DataFrame, *, group_col: str, id_col: str, k: int, seed: int = 42) -> DataFrame:
     """k rows of each group, uniformly; ties by id."""
     order = W.partitionBy(group_col).orderBy(seeded(seed, F.col(id_col)), id_col)

@@ -27,6 +27,19 @@ def valid_rewrite(m: Column) -> Column:
     return F.coalesce(all_speak & sound, F.lit(False))
 
 
+def valid_mapped(target: str, c: Column) -> Column:
+    """Whether a record in a target format says anything: one part of an alpaca triple's instruction and output, one message, or the text; a format that is not known says something if it is not null."""
+    if target == "alpaca":
+        said = filled(c["instruction"]) | filled(c["output"])
+    elif target in ("chatml", "openai_fine_tune", "jsonl_sft"):
+        said = F.exists(c, lambda x: filled(x["content"]))
+    elif target in ("jsonl_pt", "llama2_chat"):
+        said = filled(c)
+    else:
+        said = c.isNotNull()
+    return F.coalesce(said, F.lit(False))
+
+
 def filter_counts(df: DataFrame, valid: Column, *by: str) -> DataFrame:
     """total, valid, invalid of the rows, for each value of ``by``; a null verdict is invalid."""
     ok = F.coalesce(valid, F.lit(False))

@@ -77,12 +77,12 @@ def file_catalog(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.col("path").rlike(r"/(\.[^/]+|__pycache__|_temporary)/|/[._][^/]*$")).select("path", "length", kind.alias("kind"))
 
 
-def looks_binary(head: Column) -> Column:
-    """Whether the first bytes hold a NUL, or 512 or more of them less than a quarter of printable ASCII."""
-    as_hex = F.hex(head)
-    bytes_ = F.regexp_replace(as_hex, "(..)", "$1 ")
+def looks_binary(content: Column) -> Column:
+    """Whether the first 16 KiB hold a NUL, or 512 or more of them less than a quarter of printable ASCII and no mark of UTF-16 before them."""
+    head = F.substring(content, 1, 16_384)
+    bytes_ = F.regexp_replace(F.hex(head), "(..)", "$1 ")
     printable = F.length(head) - F.length(F.regexp_replace(bytes_, "(2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E]|09|0A|0D) ", "")) / 3
-    return bytes_.rlike("(^| )00 ") | ((F.length(head) >= 512) & (printable < 0.25 * F.length(head)))
+    return bytes_.rlike("(^| )00 ") | (~bytes_.rlike("^(FF FE|FE FF) ") & (F.length(head) >= 512) & (printable < 0.25 * F.length(head)))
 
 
 def write_jsonl(df: DataFrame, path: str, *, rows_per_file: int = 10_000, mode: str = "error", compression: str = "none") -> None:
