@@ -13,11 +13,11 @@ STATS = ("select", "join", "(select", "group by", "order by", "limit")
 
 
 def strip_fences(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?m)^```[a-zA-Z]*[ \t]*$", ""))
+    return F.trim(F.regexp_replace(c, r"(?m)^```[a-zA-Z]*[ \t]*$", ""), F.lit(" \t\r\n"))
 
 
 def statements(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ";"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda s: F.trim(s, F.lit(" \t\r\n"))), lambda s: s != "")
 
 
 def op_type(c: Column) -> Column:
@@ -62,6 +62,33 @@ def failure_stage(c: Column) -> Column:
     return first_of(F.coalesce(c, F.lit("")), CODE_FAILURES, "other")
 
 
+# The exception that a stage is told by, where it has one; ``value`` may also be a ZeroDivisionError.
+EXCEPTIONS = {"timeout": "Timeout", "syntax": "SyntaxError", "import": "ImportError", "name": "NameError", "type": "TypeError", "assert": "AssertionError", "value": "ValueError", "index": "IndexError", "key": "KeyError", "recursion": "RecursionError"}
+
+
+def failure_report(head: Column, error: Column, tail: Column) -> Column:
+    """struct<stage, exception, place, detail> of a program's failure, by the first lines of its errors, its error text and the last of its output.
+
+    The place (file:line) is that of a syntax error, the detail an assertion's
+    message or the module that is missing; empty where nothing is told.
+    """
+
+    def told(text: Column) -> Column:
+        def by(stage: Column) -> Column:
+            name = F.coalesce(*[F.when(stage == k, v) for k, v in EXCEPTIONS.items()], F.lit(""))
+            name = F.when((stage == "value") & ~text.contains("ValueError"), "ZeroDivisionError").otherwise(name)
+            file, line = (F.regexp_extract(text, r'File "([^"]+)", line (\d+)', i) for i in (1, 2))
+            place = F.when((stage == "syntax") & (file != ""), F.concat(file, F.lit(":"), line)).otherwise("")
+            module = F.regexp_extract(text, r"ModuleNotFoundError: No module named '([^']+)'", 1)
+            message = F.trim(F.regexp_extract(text, r"AssertionError[: ](.*)", 1))
+            detail = F.when(stage == "import", module).when(stage == "assert", message).otherwise("")
+            return F.struct(stage.alias("stage"), name.alias("exception"), place.alias("place"), detail.alias("detail"))
+
+        return _once(failure_stage(text), by)
+
+    return _once(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (head, error, tail)]), told)
+
+
 def log_metric(c: Column, name: str) -> Column:
     """The value of ``name`` in a training log line: ``'name': x``, ``name=x`` or ``name: x``."""
     return F.regexp_extract(c, rf"(?:^|[^A-Za-z_]){name}'?\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
@@ -138,11 +165,36 @@ def evidence(question: Column, ddl: Column, error: Column) -> Column:
 
 
 def leak_free(ddl: Column, answer: Column, longer_than: int = 10) -> Column:
-    """Schema statements but those that equal, hold or lie in the answer, compared in lower case with white space collapsed."""
+    """Schema statements but those that equal, hold or lie in the whole answer; fences are cut, and both are compared in lower case with white space collapsed."""
     plain = lambda s: F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
-    a = plain(F.regexp_replace(F.coalesce(answer, F.lit("")), r";\s*$", ""))
-    leak = lambda s: (a != "") & (F.length(plain(s)) > longer_than) & (plain(s).contains(a) | a.contains(plain(s)))
-    return F.filter(statements(ddl), lambda s: ~leak(s))
+
+    def kept(a: Column) -> Column:
+        leak = lambda s: (a != "") & (F.length(plain(s)) > longer_than) & (plain(s).contains(a) | a.contains(plain(s)))
+        return F.filter(statements(strip_fences(F.coalesce(ddl, F.lit("")))), lambda s: ~leak(s))
+
+    return _once(plain(strip_fences(F.coalesce(answer, F.lit("")))), kept)
+
+
+def sanitized(ddl: Column, answer: Column) -> Column:
+    """struct<schema, leaked>: the statements that do not tell the answer, each ended by a semicolon, and whether any did."""
+    def made(kept: Column) -> Column:
+        schema = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, ";\n"), F.lit(";"))).otherwise("")
+        return F.struct(schema.alias("schema"), (F.size(kept) < F.size(statements(strip_fences(F.coalesce(ddl, F.lit("")))))).alias("leaked"))
+
+    return _once(leak_free(ddl, answer), made)
+
+
+# What is counted in a statement in lower case.
+COUNTED = {"selects": ("select",), "joins": (" join ",), "subqueries": ("(select",), "aggregations": (" count(", " sum(", " avg(", " min(", " max("), "group_by": (" group by ",), "order_by": (" order by ",), "limits": (" limit ",)}
+
+
+def statement_counts(c: Column) -> Column:
+    """struct of the length and the counts of ``COUNTED``, matches that do not overlap; null counts as empty."""
+    def counted(q: Column) -> Column:
+        sums = [sum((occurrences(q, w) for w in words[1:]), occurrences(q, words[0])).alias(k) for k, words in COUNTED.items()]
+        return F.struct(F.length(q).cast("long").alias("length"), *sums)
+
+    return _once(F.lower(F.coalesce(c, F.lit(""))), counted)
 
 
 def suspicious_numbers(sql: Column, question: Column) -> Column:

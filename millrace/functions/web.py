@@ -80,6 +80,14 @@ def last_python(text: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?i)```(?:python|py)[0-9]*[ \t]*\n([\s\S]*?)```"), F.lit(1)), F.lit(-1))
 
 
+def with_imports(code: Column, prompt: Column) -> Column:
+    """A program that begins with a function, behind what the prompt has before its own first ``def``; leading white space goes. Null stays null."""
+    at = F.instr(F.coalesce(prompt, F.lit("")), "def")
+    bare = F.regexp_replace(code, r"^\s+", "")
+    bare_def = code.startswith("def") | code.startswith(" def")
+    return F.when(bare_def & (at > 0), F.concat(F.substring(prompt, F.lit(1), at - 1), bare)).otherwise(bare)
+
+
 def reader_page(raw: Column) -> Column:
     """struct<title, url, warning, content> of a page reader's output; without the content mark, all of it is content."""
     line = lambda name: F.nullif(F.trim(F.regexp_extract(F.regexp_replace(raw, r"(?s)Markdown Content:.*$", ""), rf"(?m)^{name}:[ \t]*(.*)$", 1)), F.lit(""))

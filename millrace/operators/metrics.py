@@ -49,6 +49,26 @@ def auc(df: DataFrame, *, score_col: str, label_col: str) -> DataFrame:
     return steps.agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2.0)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 
+def class_auc(df: DataFrame, *, scores_col: str, label_col: str, classes: tuple[str, ...]) -> DataFrame:
+    """auc: the mean over ``classes`` of each one's area against all others, by its own score in an array in their order; null where a class has no rows or all.
+
+    Rows with a null label or array, or an array of another length, are left out. Each class is
+    ranked within ranges of its scores, so neither a class nor the table meets in one task.
+    """
+    whole = df.where(F.col(label_col).isNotNull() & (F.size(scores_col) == len(classes)))
+    each = whole.select(F.col(label_col).cast("string").alias("y"), F.posexplode(scores_col).alias("k", "s")).where("s is not null")
+    mine = F.col("y") == F.element_at(F.array(*map(F.lit, classes)), F.col("k") + 1)
+    by = each.groupBy("k", F.col("s").cast("double").alias("s")).agg(F.count_if(mine).alias("p"), F.count_if(~mine).alias("n"))
+    areas = []
+    for k in range(len(classes)):  # classes are a benchmark's, few by nature
+        steps = below(by.where(F.col("k") == k), value_col="s", count_col="n", name="b")
+        areas.append(steps.agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2.0)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("a")))
+    both = areas[0]
+    for a in areas[1:]:
+        both = both.union(a)
+    return both.agg(F.when(F.count("a") == len(classes), F.avg("a")).alias("auc"))
+
+
 def mcc(df: DataFrame, *, pred_col: str, label_col: str) -> DataFrame:
     p, y = F.col(pred_col), F.col(label_col)
     c = df.agg(F.count_if((p == 1) & (y == 1)).alias("tp"), F.count_if((p == 0) & (y == 0)).alias("tn"), F.count_if((p == 1) & (y == 0)).alias("fp"), F.count_if((p == 0) & (y == 1)).alias("fn"))

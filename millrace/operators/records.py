@@ -43,6 +43,30 @@ def alpaca(m: Column) -> Column:
     return F.struct(at("user").alias("instruction"), at("system").alias("input"), at("assistant").alias("output"))
 
 
+def masked_system(m: Column, text: str) -> Column:
+    """``ensure_system`` with a ``loss_mask`` on each message: false on the system message in front, null (none stated) on the rest."""
+    none = F.lit(None).cast("boolean")
+    return F.transform(ensure_system(m, text), lambda x, i: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.when(i == 0, F.lit(False)).otherwise(none).alias("loss_mask")))
+
+
+def triple(df: DataFrame, *, messages: str = "messages") -> Column:
+    """struct<instruction, input, output>, trimmed, of rows of either form.
+
+    A row with an instruction or an output is taken as it is. Of messages the
+    first filled of each role counts, and the system text stands before the
+    instruction, on a line of its own. Nulls and absent columns are empty.
+    """
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    own = F.struct(*[trimmed(has(c)).alias(c) for c in ("instruction", "input", "output")])
+    if messages not in df.columns:
+        return own
+    said = lambda r: trimmed(F.try_element_at(F.filter(messages, lambda x: (F.lower(x["role"]) == r) & filled(x["content"])), F.lit(1))["content"])
+    asked = F.array_join(F.filter(F.array(said("system"), said("user")), lambda x: x != ""), "\n")
+    chat = F.struct(asked.alias("instruction"), F.lit("").alias("input"), said("assistant").alias("output"))
+    return F.when(has("instruction").isNotNull() | has("output").isNotNull(), own).otherwise(chat)
+
+
 def chatml(m: Column) -> Column:
     kept = F.filter(m, lambda x: filled(x["content"]))
     return F.transform(kept, lambda x: F.struct(F.when(F.lower(x["role"]) == "tool", "assistant").otherwise(F.lower(x["role"])).alias("role"), x["content"].alias("content")))

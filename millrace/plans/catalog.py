@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext, text
-from millrace.operators import dedup, metrics, records, sampling
+from millrace.operators import dedup, metrics, records, sampling, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,23 +120,21 @@ def failure_bias(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20")
 def top_frequent(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(20)
+    return summaries.top_values(t(spark, d, "events"), "user_id", n=20)
 
 
 @query("""SELECT lang, CASE WHEN n <= 10 THEN '<=10' WHEN n <= 30 THEN '11-30' WHEN n <= 60 THEN '31-60' ELSE '>60' END AS bin, count(*) AS n_docs
  FROM (SELECT lang, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
 def line_histogram(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
-    bins = F.when(n <= 10, "<=10").when(n <= 30, "11-30").when(n <= 60, "31-60").otherwise(">60")
-    return t(spark, d, "documents").where("text is not null").groupBy("lang", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return t(spark, d, "documents").where("text is not null").groupBy("lang", summaries.bins(n, (10, 30, 60)).alias("bin")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query(f"""WITH e AS ({_EVENTS}), k AS (SELECT user_id, bool_or(failed = 0) AS ok FROM e GROUP BY user_id)
 SELECT (SELECT round(avg(1 - failed), 4) FROM e) AS sample_rate, round(avg(CAST(ok AS INTEGER)), 4) AS task_rate FROM k""")
 def pass_rates(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").select("user_id", (F.col("event_type") != "error").cast("int").alias("ok"))
-    by = e.groupBy("user_id").agg(F.sum("ok").alias("s"), F.count(F.lit(1)).alias("n"), F.max("ok").alias("any"))
-    return by.agg(F.round(F.sum("s") / F.sum("n"), 4).alias("sample_rate"), F.round(F.avg("any"), 4).alias("task_rate"))
+    e = t(spark, d, "events").select("user_id", (F.col("event_type") != "error").alias("ok"))
+    return summaries.pass_rates(e, task="user_id", passed="ok")
 
 
 @query("""WITH g AS (SELECT l_suppkey AS task, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1),
@@ -150,16 +148,12 @@ def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT 'c_name' AS field, count(c_name) AS n FROM customer UNION ALL SELECT 'c_mktsegment', count(nullif(c_mktsegment, '')) FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer""")
 def field_presence(spark: SparkSession, d: str) -> DataFrame:
-    c = t(spark, d, "customer")
-    fields = ("c_name", "c_mktsegment", "c_acctbal")
-    counted = c.agg(*[F.count(F.nullif(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields])
-    return counted.unpivot([], list(fields), "field", "n")
+    return summaries.field_presence(t(spark, d, "customer"), ("c_name", "c_mktsegment", "c_acctbal"))
 
 
 @query("SELECT user_id % 10 AS grp, arg_max(event_type, (n, event_type)) AS dominant FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id % 10, event_type) AS n FROM events) GROUP BY 1")
 def dominant_failure(spark: SparkSession, d: str) -> DataFrame:
-    n = t(spark, d, "events").groupBy((F.col("user_id") % 10).alias("grp"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("grp").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("dominant"))
+    return summaries.dominant(t(spark, d, "events").withColumn("grp", F.col("user_id") % 10), F.col("event_type"), "grp")
 
 
 @query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS group_size FROM events)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators import corpus_metrics, graph
+from millrace.operators import corpus_metrics, graph, sampling, summaries
 from millrace.plans.catalog import query, t
 
 _TOKENS = "' ' || coalesce(text, '') || ' '"
@@ -59,8 +58,7 @@ def json_predicate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, arg_min(event_id, (value, event_id)) AS best, min(value) AS loss FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def best_checkpoint(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").where("value is not null")
-    return e.groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best"), F.min("value").alias("loss"))
+    return summaries.best_checkpoint(t(spark, d, "events"), by="user_id", loss="value", step="event_id")
 
 
 @query("""SELECT event_type, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(value, (ts, event_id)) AS latest, count(DISTINCT user_id) AS users FROM events WHERE value IS NOT NULL GROUP BY event_type""")
@@ -81,14 +79,8 @@ def fails_and_passes(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT *, max(gp) OVER () + 1 AS ng FROM q), b AS (SELECT *, 5000 // ng + CASE WHEN gp < 5000 % ng THEN 1 ELSE 0 END AS gb FROM g)
 SELECT lang, source, CAST(gb // ns + CASE WHEN sp < gb % ns THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b""")
 def quota_two_levels(spark: SparkSession, d: str) -> DataFrame:
-    """A budget over groups, then over the members of each; only their distinct names are ranked."""
-    s = t(spark, d, "documents").where("lang is not null and source is not null").select("lang", "source").distinct()
-    groups = s.select("lang").distinct().withColumn("gp", F.row_number().over(W.orderBy("lang")) - 1).withColumn("ng", F.count(F.lit(1)).over(W.partitionBy()))
-    split = lambda budget, n, at: F.floor(budget / n) + F.when(at < budget % n, 1).otherwise(0)
-    gb = groups.select("lang", split(F.lit(5000), F.col("ng"), F.col("gp")).alias("gb"))
-    own = W.partitionBy("lang")
-    ranked = s.withColumns({"sp": F.row_number().over(own.orderBy("source")) - 1, "ns": F.count(F.lit(1)).over(own)}).join(gb, "lang")
-    return ranked.select("lang", "source", split(F.col("gb"), F.col("ns"), F.col("sp")).cast("long").alias("quota"))
+    s = t(spark, d, "documents").where("lang is not null and source is not null")
+    return sampling.nested_quotas(s, group_col="lang", name_col="source", budget=5000)
 
 
 @query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages WHERE length(trim(html)) >= 100 AND NOT contains(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.net')""")
@@ -105,5 +97,4 @@ def crawl_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT split_part(o_comment_key, ':', 1) AS reason, count(*) AS n FROM (SELECT o_orderstatus || ':' || o_orderkey AS o_comment_key FROM orders) GROUP BY 1""")
 def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.concat_ws(":", "o_orderstatus", "o_orderkey")
-    return t(spark, d, "orders").groupBy(F.substring_index(reason, ":", 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return summaries.drop_reasons(t(spark, d, "orders"), F.concat_ws(":", "o_orderstatus", "o_orderkey"))

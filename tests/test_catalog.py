@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import catalog, checks, evals, gates, rules, scores, texts  # noqa: F401  (they add to the catalog)
+from millrace.plans import catalog, checks, evals, gates, reviews, rules, scores, texts  # noqa: F401  (they add to the catalog)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
