@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from millrace.operators.corpus_metrics import _grams, _sides
-
-# The share of each part in the whole, and the length of the word sequences that repetition is told by.
+# The share of each part in the whole, the length of the word sequences that repetition is told by, and of the longest that likeness is.
 WEIGHTS = {"bleu": 0.4, "lexical_diversity": 0.3, "ngram": 0.3}
-RUN = 5
+RUN, ORDER = 5, 4
 _IDEOGRAPH = r"([\x{4e00}-\x{9fff}])"
 
 
@@ -34,26 +37,32 @@ def distinct_runs(c: Column, n: int = RUN) -> Column:
     return F.transform(F.array(words(bare)), share)[0]
 
 
-def sample_bleu(df: DataFrame, *, id_col: str, pred: str, ref: str, order: int = 4) -> DataFrame:
-    """id, bleu: of each sample by itself, from clipped counts of its n-grams; 0 if a text is empty or an order has no match."""
-    sides = _sides(df.withColumn("_refs", F.array(F.coalesce(ref, F.lit("")))), id_col, pred, "_refs", words)
-    counts = _grams(sides, order).groupBy("id", "n", "gram").agg(F.sum(F.when(F.col("side") == 0, F.col("c"))).alias("p"), F.sum(F.when(F.col("side") == 1, F.col("c"))).alias("r"))
-    by = counts.groupBy("id", "n").agg(F.sum(F.least(F.coalesce("p", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("hit"), F.sum("p").alias("all"))
-    logs = by.where("hit > 0").groupBy("id").agg(F.sum(F.log(F.col("hit") / F.col("all"))).alias("l"), F.count(F.lit(1)).alias("k"))
-    size = lambda s: F.max(F.when(F.col("side") == s, F.size("toks")))
-    lengths = sides.groupBy("id").agg(size(0).alias("mine"), size(1).alias("theirs"))
-    brief = F.when(F.col("mine") < F.col("theirs"), F.exp(1 - F.col("theirs") / F.col("mine"))).otherwise(1.0)
-    score = F.when(F.col("k") == order, brief * F.exp(F.col("l") / order)).otherwise(0.0)
-    return lengths.join(logs, "id", "left").select("id", F.coalesce(score, F.lit(0.0)).alias("bleu"))
+@F.pandas_udf(DoubleType())
+def bleu(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    """Of each row's words by themselves: clipped n-grams of one to four words, geometric mean, short texts scaled down; 0 if a text is empty or an order has no match."""
+
+    def one(p: list[str], r: list[str]) -> float:
+        logs = 0.0
+        for n in range(1, ORDER + 1):
+            mine, theirs = (Counter(zip(*(w[i:] for i in range(n)), strict=False)) for w in (p, r))
+            hit = sum((mine & theirs).values())
+            if not hit:
+                return 0.0
+            logs += math.log(hit / (len(p) - n + 1))
+        return math.exp(logs / ORDER) * (math.exp(1 - len(r) / len(p)) if len(p) < len(r) else 1.0)
+
+    return pd.Series([one(list(p), list(r)) for p, r in zip(pred, ref, strict=True)], dtype="float64")
 
 
 def sample_scores(df: DataFrame, *, id_col: str, pred: str, ref: str, weights: dict[str, float] | None = None) -> DataFrame:
-    """id, bleu, lexical_diversity, ngram and their weighted ``overall`` of each generated text, to four digits. Ids must be unique; null texts are empty."""
+    """id, bleu, lexical_diversity, ngram and their weighted ``overall`` of each generated text, to four digits. Null texts are empty.
+
+    A row's scores need no other row, so nothing is shuffled.
+    """
     w = WEIGHTS if weights is None else weights
-    alone = df.select(F.col(id_col).alias("id"), lexical_diversity(F.col(pred)).alias("lexical_diversity"), distinct_runs(F.col(pred)).alias("ngram"))
-    both = alone.join(sample_bleu(df, id_col=id_col, pred=pred, ref=ref), "id")
+    each = df.select(F.col(id_col).alias("id"), bleu(words(F.col(pred)), words(F.col(ref))).alias("bleu"), lexical_diversity(F.col(pred)).alias("lexical_diversity"), distinct_runs(F.col(pred)).alias("ngram"))
     overall = sum((F.col(k) * w[k] for k in WEIGHTS), F.lit(0.0))
-    return both.select("id", *[F.round(k, 4).alias(k) for k in WEIGHTS], F.round(overall, 4).alias("overall"))
+    return each.select("id", *[F.round(k, 4).alias(k) for k in WEIGHTS], F.round(overall, 4).alias("overall"))
 
 
 def average_scores(scores: DataFrame) -> DataFrame:
