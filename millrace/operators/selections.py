@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +43,14 @@ def loosely_right(pred: Column, refs: Column) -> Column:
     return F.coalesce(F.exists(refs, lambda r: (mine == F.trim(r)) | ((F.trim(r) != "") & mine.contains(F.trim(r)))), F.lit(False))
 
 
-def case_samples(df: DataFrame, *, pred: str, refs: str, id_col: str, group: str = "negative", n: int = 5, seed: int = 42) -> DataFrame:
-    """``n`` rows of a group (``positive``, ``negative``, ``mixed``; any other name is negative), repeatable by the seed, with ``correct``."""
-    told = df.withColumn("correct", loosely_right(F.col(pred), F.col(refs)))
+def exactly_held(pred: Column, refs: Column) -> Column:
+    """Whether a prediction holds one of the references as it stands, white space included; null where either is."""
+    return F.exists(refs, lambda r: pred.contains(r))
+
+
+def case_samples(df: DataFrame, *, pred: str, refs: str, id_col: str, group: str = "negative", n: int = 5, seed: int = 42, right: Callable[[Column, Column], Column] = loosely_right) -> DataFrame:
+    """``n`` rows of a group (``positive``, ``negative``, ``mixed``; any other name is negative), repeatable by the seed, with ``correct``, which ``right`` tells of prediction and references."""
+    told = df.withColumn("correct", right(F.col(pred), F.col(refs)))
     wanted = {"mixed": F.lit(True), "positive": F.col("correct")}.get(group, ~F.col("correct"))
     return pool(told.where(wanted), id_col=id_col, size=n, seed=seed)
 

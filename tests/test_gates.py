@@ -82,6 +82,21 @@ def test_case_samples(spark):
     assert len(ids(group="mixed", n=2)) == 2 and ids(group="mixed", n=2) == ids(group="mixed", n=2)
 
 
+def test_case_samples_of_turns_with_blanks(spark, tmp_path):
+    """The query against its SQL where the next turn's first characters end in a blank, begin with one, are blank or are missing."""
+    import duckdb
+
+    from millrace.plans import catalog, gates  # noqa: F401  (it adds to the catalog)
+
+    turns = ["it is in", "in the end", " a b", "a b", "   ", "x", "", "y", None, "z", "as a", "is so", "Is it so", "it"]
+    rows = [(c, n, "user", s) for c in range(3) for n, s in enumerate(turns[c:])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["case_samples"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["case_samples"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 20
+
+
 def test_samples_with_problems_and_rates(spark):
     samples = spark.createDataFrame([("t", 2), ("t", 1), ("u", 1), (None, 1)], "task string, n int")
     placed, unknown = selections.with_problems(samples, spark.createDataFrame([("t", "p")], "task string, prompt string"), task="task", order="n")
