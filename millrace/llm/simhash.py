@@ -104,28 +104,22 @@ def local_links(fps: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarr
 
 
 def _compare(members: DataFrame, keys: list[str], near: int) -> DataFrame:
-    """Links of buckets that hold ``TILE`` fingerprints at most, streamed bucket by bucket."""
+    """Links of buckets that hold ``TILE`` fingerprints at most.
+
+    A bucket is gathered by an aggregation: rows repartitioned by their key may
+    stay as a join before dealt them, and of a large one Spark deals the rows
+    of one key over several tasks.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        names = [*keys, "fp"]
         for batch in stream:
-            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            new = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:-1]], axis=0)) + 1 if len(cols[0]) > 1 else np.array([], int)
-            last = int(new[-1]) if len(new) else 0
-            yield from links([c[:last] for c in cols], new[:-1])
-            held = [c[last:] for c in cols]
-        if held:
-            yield from links(held, np.array([], int))
-
-    def links(cols: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(cols[0]):
-            got = [local_links(x, near) for x in np.split(cols[-1], cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["u", "v"])
-
-    return members.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+            lists = batch.column(0)
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            got = [local_links(values[a:b], near) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["u", "v"])
+
+    return members.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "u long, v long")
 
 
 def _buckets(listed: DataFrame, keys: list[str]) -> DataFrame:

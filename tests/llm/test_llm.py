@@ -252,6 +252,26 @@ def test_simhash_components(spark, docs, rows, tile):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got.collect()) == want
 
 
+def test_simhash_buckets_of_split_partitions(spark):
+    """A bucket is compared whole even where Spark splits the partition that a join has dealt it to."""
+    from millrace.llm import simhash
+    from millrace.llm.components import components
+
+    split = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in split}
+    listed = spark.range(0, 2000, 1, 8).select(F.lit(7).cast("long").alias("k1"), F.col("id").alias("fp")).union(spark.range(300).select("id", (F.col("id") * 2**40).alias("fp")).where("id <> 7"))
+    more = spark.range(300).select(F.col("id").alias("k1"), F.lit(3).alias("n"))
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        found = simhash._compare(listed.join(more, "k1"), ["k1"], 3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    roots = {r.node: r.root for r in components(spark.createDataFrame(found, "u long, v long")).collect()}
+    assert roots == dict.fromkeys(range(2000), 0)
+
+
 @pytest.mark.parametrize("tile", [256, 2])
 def test_near_copies_against_brute_force(spark, docs, rows, monkeypatch, tile):
     from millrace.llm import near_copies
