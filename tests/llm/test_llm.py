@@ -327,6 +327,22 @@ def test_near_copies_against_brute_force(spark, docs, rows, monkeypatch, tile):
     assert odd.where("doc_id in (9005, 9006)").count() == 1 and odd.where("doc_id in (9001, 9002, 9003)").count() == 1
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Near copies are found by SimHash fingerprints alone where the least values list nothing, and unlike texts of one fingerprint class stay."""
+    from millrace.llm import near_copies
+
+    words = [f"w{i}" for i in range(400)]
+    made = [(i, " ".join(words[:399] + [f"end{i}"])) for i in range(1, 5)] + [(9, " ".join(reversed(words)))]
+    made += [(20 + i, " ".join(f"{i}x{j}" for j in range(50))) for i in range(3)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    fps = [near_copies.majority(np.unique(np.array(h, np.int64))) for h, in df.where("doc_id < 5").select(near_copies._shingles(F.col("text"), 5)).collect()]
+    assert len(set(fps)) > 1 and all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a in fps for b in fps[:1])
+    monkeypatch.setattr(near_copies, "_listed", lambda kinds: kinds.select("cid", F.col("cid").alias("key")))
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == [1, 9, 20, 21, 22]
+    monkeypatch.setattr(near_copies, "majority", lambda hashes: 5)  # one class of all: the shingles decide
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == [1, 9, 20, 21, 22]
+
+
 def test_links_past_a_hub(spark):
     from millrace.llm import near_copies
 
