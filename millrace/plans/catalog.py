@@ -32,6 +32,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows over all cores, where each costs much: a file of millions of them is small enough for one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 _NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 _FOLD = "SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id"
 _FIRST = "trim(list_filter(m, lambda x: lower(x.role) = '{0}')[1].content)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import answers, ddl, listings, mathequal
 from millrace.operators import chain, dedup, edit_rate, positions, records, stems, validators
-from millrace.plans.catalog import _FOLD, query, t
+from millrace.plans.catalog import _FOLD, query, spread, t
 
 _PLAIN = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 _SIDE = "coalesce(list_filter(m, lambda x: lower(x.role) = '{0}' AND x.content <> '')[1].content, '')"
@@ -120,7 +120,7 @@ def _spelled(n: Column) -> Column:
 @query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS said FROM orders")
 def spelled_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Customers' numbers, spelled and read again."""
-    return t(spark, d, "orders").select("o_orderkey", answers.number_words(F.concat(F.lit("customer "), _spelled(F.col("o_custkey")))).alias("said"))
+    return spread(t(spark, d, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", answers.number_words(F.concat(F.lit("customer "), _spelled(F.col("o_custkey")))).alias("said"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE 'math_verify' END AS found FROM customer""")
@@ -130,7 +130,7 @@ def verified_shares(spark: SparkSession, d: str) -> DataFrame:
     other = F.when(F.col("c_custkey") % 3 == 0, (F.col("c_nationkey") + 3).cast("string")).otherwise(n)
     pred = F.concat(F.lit("So it is \\boxed{\\frac{"), n, F.lit("\\sqrt{8}}{"), m, F.lit("}}."))
     ref = F.concat(F.lit("\\frac{-4"), F.lit("\\cdot"), other, F.lit("}{-"), m, F.lit("\\sqrt{2}}"))
-    rows = t(spark, d, "customer").select("c_custkey", pred.alias("p"), ref.alias("r"))
+    rows = spread(t(spark, d, "customer").select("c_custkey", "c_nationkey")).select("c_custkey", pred.alias("p"), ref.alias("r"))
     return mathequal.verified(rows, pred="p", ref="r", name="found").select("c_custkey", "found")
 
 

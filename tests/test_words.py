@@ -123,3 +123,11 @@ def test_sides_of_a_chat(spark):
     df = spark.createDataFrame(rows, "m array<struct<role string, content string>>, instruction string")
     got = df.select(*dedup.chat_sides(F.coalesce("m", F.array().cast("array<struct<role string, content string>>")), user=(F.col("instruction"),))).collect()
     assert [tuple(r) for r in got] == [("q", "a"), ("top", ""), ("top", ""), ("", "a")]
+
+
+@pytest.mark.parametrize("name", ["verified_shares", "spelled_numbers"])
+def test_costly_rows_are_spread(spark, name):
+    """A small file of costly rows is no single task."""
+    from millrace.plans import catalog, rules  # noqa: F401  (it adds to the catalog)
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
