@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,10 +51,23 @@ def chunks(c: Column, size: int = 600, overlap: int = 120) -> Column:
     return run(c)
 
 
+def _cut_pages(stream: Iterator[pa.RecordBatch], size: int, overlap: int, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """url, total_chunks, chunk_id, chunk of pages (url, text), of ``rows`` pages at a time, so that few texts are Python objects at once."""
+    for batch in stream:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            cut = [_packed(t, size, overlap) for t in part.column(1).to_pylist()]
+            from_page = pa.array([i for i, c in enumerate(cut) for _ in c], pa.int32())
+            totals = pa.array([len(c) for c in cut for _ in c], pa.int32())
+            places = pa.array([n for c in cut for n in range(len(c))], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(from_page), totals, places, pa.array([x for c in cut for x in c], pa.string())], ["url", "total_chunks", "chunk_id", "chunk"])
+
+
 def page_chunks(pages: DataFrame, *, url_col: str, text_col: str, least_page: int = 50, least: int = 80, size: int = 600, overlap: int = 120) -> DataFrame:
     """url, chunk_id, total_chunks, sha, chunk: short pages and chunks left out; of equal chunks the first by url and place stays."""
-    long = pages.where(F.length(F.trim(text_col)) >= least_page).select(F.col(url_col).alias("url"), chunks(F.col(text_col), size, overlap).alias("_c"))
-    each = long.select("url", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_id", "chunk")).where(F.length("chunk") >= least)
+    long = pages.where(F.length(F.trim(text_col)) >= least_page).select(F.col(url_col).alias("url"), F.col(text_col).cast("string").alias("text"))
+    cut = long.mapInArrow(lambda stream: _cut_pages(stream, size, overlap), f"url {dict(long.dtypes)['url']}, total_chunks int, chunk_id int, chunk string")
+    each = cut.where(F.length("chunk") >= least)
     row = F.struct("url", "chunk_id", "total_chunks", "chunk")
     first = each.groupBy(F.sha1("chunk").alias("sha")).agg(F.min_by(row, F.struct("url", "chunk_id")).alias("r"))
     return first.select("r.url", "r.chunk_id", "r.total_chunks", "sha", "r.chunk")

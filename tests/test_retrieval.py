@@ -52,6 +52,20 @@ def test_chunks(spark):
     assert {r.url for r in kept} == {"u1", "u5"} and len({r.sha for r in kept}) == len(kept)
 
 
+def test_pages_are_cut_few_at_a_time():
+    """Of a batch of many pages only a few are Python objects at once; every chunk comes with its page and place."""
+    import pyarrow as pa
+
+    from millrace.operators import retrieval
+
+    pages = [" ".join(f"Page {i} has sentence {n}." for n in range(i % 90)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"u{i}" for i in range(300)]), pa.array(pages)], ["url", "text"])
+    got = list(retrieval._cut_pages(iter([batch.slice(0, 7), batch.slice(7)]), 600, 120, rows=8))
+    assert len(got) == 1 + 37 and max(len(set(b.column(0).to_pylist())) for b in got) <= 8
+    want = [(f"u{i}", len(c), n, x) for i, t in enumerate(pages) for c in [retrieval._packed(t, 600, 120)] for n, x in enumerate(c)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
 def test_mmr(spark):
     from millrace.operators import retrieval
 
