@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,22 +85,68 @@ def unit(c: Column) -> Column:
     return F.when(norm.isNotNull(), F.transform(v, lambda x: x / norm))
 
 
+def _units(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which lists are vectors of ``dim`` components, no null among them, and of a length; these at length one, by columns). Sums run in order, as in ``unit``."""
+    starts, ends = lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:]
+    nulls = np.concatenate([[0], np.cumsum(lists.values.is_null().to_numpy(zero_copy_only=False))])
+    at = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) & (ends - starts == dim) & (nulls[ends] == nulls[starts]))
+    v = lists.values.to_numpy(zero_copy_only=False)[starts[at][None, :] + np.arange(dim)[:, None]]
+    total = np.zeros(len(at))
+    for x in v:
+        total += x * x
+    norm = np.sqrt(total)
+    return at[norm != 0], v[:, norm != 0] / norm[norm != 0]
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, query_id: str, query_vec: str, fetch_k: int) -> DataFrame:
+    """query_id, id, relevance, _v (at length one): of each query the ``fetch_k`` most similar rows of every task."""
+    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(query_vec)).alias("_q")).where("_q is not null")
+    asked = q.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((asked.column(0).combine_chunks(), asked.column(1).to_pylist()))
+    narrow = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    types = dict(narrow.dtypes) | dict(q.dtypes)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pd.DataFrame] = {}
+        kind, (names, wanted) = None, shared.value
+        for batch in stream:
+            kind = batch.schema.field(0).type
+            for dim in {len(x) for x in wanted}:
+                at, v = _units(batch.column(1), dim)
+                ids = batch.column(0).take(pa.array(at)).to_pandas(integer_object_nulls=True)
+                for i, x in enumerate(wanted):
+                    if len(x) != dim or not len(at):
+                        continue
+                    relevance = np.zeros(len(at))
+                    for a, b in zip(v, x, strict=True):
+                        relevance += a * b
+                    least = held[i]["relevance"].iloc[-1] if i in held and len(held[i]) == fetch_k else -np.inf
+                    few = np.flatnonzero(~(relevance < least))
+                    if len(few) > 4 * fetch_k:  # most of them are settled without a sort
+                        few = few[~(relevance[few] < np.partition(relevance[few], -fetch_k)[-fetch_k])]
+                    new = pd.DataFrame({"id": ids.iloc[few], "relevance": relevance[few], "_v": list(v[:, few].T.copy())})
+                    both = pd.concat([held[i], new]) if i in held else new
+                    held[i] = both.sort_values(["relevance", "id"], ascending=[False, True], na_position="first").head(fetch_k)
+        for i, kept in held.items():
+            again = names.take(pa.array([i] * len(kept)))
+            yield pa.RecordBatch.from_arrays([again, pa.array(kept["id"].tolist(), kind), pa.array(kept["relevance"].to_numpy()), pa.array(kept["_v"].tolist(), pa.list_(pa.float64()))], ["query_id", "id", "relevance", "_v"])
+
+    return narrow.mapInArrow(run, f"query_id {types['query_id']}, id {types['id']}, relevance double, _v array<double>")
+
+
 def mmr(rows: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, query_id: str = "query_id", query_vec: str = "query", k: int = 15, fetch_k: int = 60, weight: float = 0.5) -> DataFrame:
     """query_id, rank, id, relevance: the ``k`` rows of most marginal relevance out of the ``fetch_k`` most similar ones.
 
-    ``queries`` is a stated set that meets all rows in one pass; each task keeps
-    its own ``fetch_k`` rows of a query before the shuffle (a limit of the
-    window), so a query's group never exceeds ``fetch_k`` rows a task. Null and
-    zero vectors take no part; ties go to the smaller id.
+    ``queries`` is a stated set that goes to every task and meets all rows in
+    one pass; each task keeps its own ``fetch_k`` rows of a query, and only they
+    are shuffled and ranked. Null and zero vectors take no part; ties go to the
+    smaller id.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(query_vec)).alias("_q"))
-    scored = rows.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("_v")).join(q, F.size("_v") == F.size("_q")).withColumn("relevance", _dot(F.col("_v"), F.col("_q")))
+    near = _nearest(rows, queries, id_col, vec_col, query_id, query_vec, fetch_k)
     order = W.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
-    near = scored.where("relevance is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fetch_k).select("query_id", "id", "relevance", "_v")
+    near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fetch_k).drop("_n")
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         group = group.sort_values(["relevance", "id"], ascending=[False, True], ignore_index=True)
         v = np.array(group["_v"].tolist(), dtype=np.float64)
         rel, near, chosen = group["relevance"].to_numpy(), np.zeros(len(group)), []

@@ -91,6 +91,25 @@ def test_mmr(spark):
     assert got[7][1] != 1  # an exact copy comes late
 
 
+def test_nearest_rows_of_a_task(spark):
+    """A task hands on no more than its best rows of a query: equal in value, ties and odd vectors to the best of all."""
+    from millrace.operators import retrieval
+
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(3000, 5)).astype("float32").tolist()
+    vecs[100:200] = [vecs[7]] * 100  # ties
+    vecs[5], vecs[6], vecs[8], vecs[9], vecs[10] = None, [0.0] * 5, [1.0, None, 0.0, 0.0, 0.0], [1.0], [float("nan"), 1.0, 1.0, 1.0, 1.0]
+    rows = spark.createDataFrame([(i * 37 % 3000, v) for i, v in enumerate(vecs)], "id long, v array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, vecs[7]), (2, rng.normal(size=5).tolist()), (3, [0.0] * 5), (4, None), (5, [2.0])], "query_id int, query array<double>")
+    got = retrieval._nearest(rows, queries, "id", "v", "query_id", "query", 40)
+    assert max(r["count"] for r in got.groupBy("query_id", F.spark_partition_id()).count().collect()) <= 40 and got.count() <= 3 * 2 * 40 + 1
+    q = queries.select("query_id", retrieval.unit(F.col("query")).alias("q"))
+    plain = rows.select("id", retrieval.unit(F.col("v")).alias("u")).join(q, F.size("u") == F.size("q")).select("query_id", "id", retrieval._dot(F.col("u"), F.col("q")).alias("relevance"), F.col("u").alias("_v"))
+    best = lambda df, n: [r for k in (1, 2, 5) for r in map(repr, df.where(f"query_id = {k} and relevance is not null").orderBy(F.desc("relevance"), "id").limit(n).collect())]
+    assert best(got, 40) == best(plain, 40) and len(best(got, 40)) == 81
+    assert retrieval._nearest(rows.limit(0), queries, "id", "v", "query_id", "query", 40).count() == 0
+
+
 def test_context(spark):
     from millrace.operators import retrieval
 
