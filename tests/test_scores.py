@@ -128,3 +128,16 @@ def test_log_stream(spark, tmp_path):
         (inbox / "2.log").write_text("{'loss': 0.25, 'step': 20}\n")
     last = logs.latest(spark.read.parquet(out)).first()
     assert last.loss == 0.25 and last.step == 20 and last.total == 2 and last.epoch is None
+
+
+def test_grams_are_not_shuffled(spark, tmp_path):
+    """Only counts of a sample's n-grams are shuffled, whatever their number."""
+    from millrace.operators.corpus_metrics import bleu, token_f1
+
+    text = " ".join(f"word{i}" for i in range(50))
+    df = spark.createDataFrame([(1, text, [text + " x", None]), (2, None, None)], "id long, pred string, refs array<string>")
+    for score in (bleu, token_f1):
+        plan = score(df, id_col="id", pred="pred", refs="refs")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(transform" not in plan and "MapInArrow" in plan
+    assert bleu(df, id_col="id", pred="pred", refs="refs").first().score > 0.9
+    assert {r.id: r.score for r in token_f1(df, id_col="id", pred="pred", refs="refs").collect()} == {1: pytest.approx(100 / 101), 2: 0.0}
