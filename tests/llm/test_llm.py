@@ -367,6 +367,44 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Each job costs the driver memory; edges that are worth one partition take no rounds."""
+    from millrace.llm.components import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    try:
+        got = dict(components(edges).collect())
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == dict.fromkeys(range(41), 0)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 10
+
+
+@pytest.mark.parametrize(("each", "kind"), [(50_000, "long"), (100, "long"), (7, "long"), (100, "string")])
+def test_components_of_edges_joined_in_parts(spark, each, kind):
+    from millrace.llm.components import components
+
+    rng = random.Random(9)
+    pairs = [(i, i + rng.randrange(1, 3)) for i in range(0, 300, 2)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)] + [(-(2**63), 2**63 - 1), (2000, 2000), (2001, None)]
+    pairs += [(1000, 1001 + i) for i in range(150)]  # a star
+    node = {"long": lambda x: x, "string": lambda x: None if x is None else f"{x:05d}"}[kind]
+    pairs = [(node(u), node(v)) for u, v in pairs]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        if v is not None and u != v:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    rows = components(spark.createDataFrame(pairs, f"u {kind}, v {kind}").repartition(5), each=each).collect()
+    assert len(rows) == len(root) and dict(rows) == {x: find(x) for x in root}
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
