@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.util import batches, checkpoint, hash_filter, join_hot, let, texts
+from millrace.llm.util import batches, checkpoint, fewer, hash_filter, join_hot, let, texts
 
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]").search
@@ -52,6 +52,8 @@ class Tree:
 LINES = "key long, doc_id long, pos int, n int, leaf long, template long"
 #: Templates that a task remembers to have sent.
 SENT = 200_000
+#: Rows of numbers, and lines with their tokens, that a partition of a checkpoint is worth: joins that deal hot keys apart double partitions each time, and every task costs the driver memory.
+EACH, LINES_EACH = 20_000, 5_000
 
 
 def parse(line: bytes) -> list[bytes]:
@@ -111,25 +113,30 @@ def _docs(lines: DataFrame, by: str, *more: str) -> DataFrame:
     return once.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.sum("rows").alias("rows"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in more])
 
 
-def recurring(docs: DataFrame, lines: DataFrame, tree: Tree) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, n_lines: int, tree: Tree) -> DataFrame:
     """Templates that recur: template (of a line), rows (lines that have it), first (id of a document that keeps it)."""
     least = F.when(F.col("n") >= tree.long_tokens, tree.docs_long).otherwise(tree.docs_short)
     kinds = checkpoint(_docs(lines, "template", "leaf"))
+    n_kinds = kinds.count()
+    kinds = fewer(kinds, n_kinds, EACH)
     exact = kinds.where(F.col("docs") >= least).select("template", "rows", "first")
     # Variable fields: only a leaf with two kinds of lines and documents enough can hold such a template.
     leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("docs").alias("_docs"), F.min("n").alias("n")).where((F.col("_kinds") > 1) & (F.col("_docs") >= least))
-    n_kinds = kinds.count()
     some = checkpoint(join_hot(kinds, leaves.select("leaf", "_kinds", F.col("_docs").alias("all_docs")), "leaf", rows="_kinds", total=n_kinds))
-    if some.isEmpty():
+    if not (n_some := some.count()):
         return exact
+    some = fewer(some, n_some, EACH)
     read = _tokens(docs, some).groupBy("template").agg(F.first("tokens").alias("tokens"))
     known = checkpoint(some.join(read, "template").select("template", "leaf", "docs", "all_docs", "rows", "n", "tokens"))
+    known = fewer(known, n_some, LINES_EACH)
     forms = checkpoint(_voted(known, tree).unionByName(_cut(known, tree)))
     # Documents of the members of a form, added up, are no fewer than the form's.
     likely = forms.groupBy("form").agg(F.sum("docs").alias("_docs"), F.count(F.lit(1)).alias("_kinds"), F.min("least").alias("least")).where("_docs >= least")
     n_forms = forms.count()
+    forms = fewer(forms, n_forms, EACH)
     forms = checkpoint(join_hot(forms.drop("least"), likely.select("form", "_kinds", "least"), "form", rows="_kinds", total=n_forms))
-    members = join_hot(lines.select("template", "key", "doc_id", "n"), forms.select("template", "rows", "form"), "template", rows="rows", total=lines.count())
+    forms = fewer(forms, n_forms, EACH)
+    members = join_hot(lines.select("template", "key", "doc_id", "n"), forms.select("template", "rows", "form"), "template", rows="rows", total=n_lines)
     groups = _docs(members, "form").select("form", F.col("docs").alias("_docs"), "first")
     sizes = forms.groupBy("form").agg(F.count(F.lit(1)).alias("_kinds"), F.min("least").alias("least"))
     groups = groups.join(sizes, "form").where("_docs >= least").select("form", "first", "_kinds")
@@ -140,10 +147,12 @@ def _voted(known: DataFrame, tree: Tree) -> DataFrame:
     """template, docs, rows, form, least: lines with the same constants, each in ``docs_short`` documents of the leaf or more; at each share, and without one."""
     parted = known.select("leaf", "template", "docs", "all_docs", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD.decode())
     wide = checkpoint(parted.select("template", "docs", "all_docs", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("at") >= tree.depth).alias("behind")))
+    n_wide = wide.count()
+    wide = fewer(wide, n_wide, 10 * EACH)
     # The first share, of 1/2, 1/4, ..., that the place's documents have of the leaf's; beyond them all, none.
     share = F.least(F.lit(tree.shares), F.greatest(F.lit(0), F.ceil(F.log2(F.max("all_docs") / F.sum("docs")) - 1e-9) - 1)).cast("int")
     places = wide.groupBy("place").agg(F.sum("docs").alias("_d"), F.count(F.lit(1)).alias("_rows"), share.alias("share")).where(f"_d >= {tree.docs_short}").select("place", "_rows", "share")
-    kept = join_hot(wide.select("template", "place", "behind"), places, "place", rows="_rows", total=wide.count())
+    kept = join_hot(wide.select("template", "place", "behind"), places, "place", rows="_rows", total=n_wide)
     own = lambda c, s: F.when(F.col("share") <= s, c)
     sums = [x for s in range(tree.shares + 1) for x in (F.count(own(F.lit(1), s)).alias(f"c{s}"), F.count(own(F.when(F.col("behind"), 1), s)).alias(f"b{s}"), F.bit_xor(own(F.col("place"), s)).alias(f"x{s}"), F.bit_xor(own(F.xxhash64("place"), s)).alias(f"y{s}"))]
     forms = kept.groupBy("template").agg(*sums)
@@ -194,8 +203,9 @@ def drop_templates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     docs = texts(df, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
     lines = checkpoint(_lines(docs, tree))
-    found = checkpoint(recurring(docs, lines, tree).groupBy("template").agg(F.min("first").alias("first"), F.min("rows").alias("rows")))
-    hit = join_hot(lines.select("template", "key", "doc_id", "pos"), found, "template", rows="rows", total=lines.count()).where(F.col("doc_id") != F.col("first"))
+    n_lines = lines.count()
+    found = checkpoint(recurring(docs, lines, n_lines, tree).groupBy("template").agg(F.min("first").alias("first"), F.min("rows").alias("rows")))
+    hit = join_hot(lines.select("template", "key", "doc_id", "pos"), found, "template", rows="rows", total=n_lines).where(F.col("doc_id") != F.col("first"))
     drops = hit.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
     # The input's columns travel as one, so that none can clash with those of the join.
     joined = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_own")).join(drops, F.col("_own") == F.col("_key"), "left")
